@@ -74,9 +74,22 @@ LINE_KEYS = ["l_suppkey"]
 LINE_CHANNELS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def line_channels(lineitem: DataFrame) -> DataFrame:
+    return lineitem.withColumns(
+        {
+            "l_extendedprice": F.round("l_extendedprice"),
+            "l_discount": F.round(F.col("l_discount") * 100),
+            "l_tax": F.round(F.col("l_tax") * 100),
+        }
+    )
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Readings with four channels: a sequence is one supplier's line items by ship date."""
-    df = table(spark, sf, "lineitem").select(
+    """Readings with four channels: a sequence is one supplier's line items by ship date.
+
+    Prices are in whole units and rates in percent: sums of whole numbers are exact in any order.
+    """
+    df = line_channels(table(spark, sf, "lineitem")).select(
         "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", *LINE_CHANNELS
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
@@ -85,7 +98,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 LINES_SQL = """ln AS (
   SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag,
-         l_quantity, l_extendedprice, l_discount, l_tax,
+         l_quantity, round(l_extendedprice) AS l_extendedprice, round(l_discount * 100) AS l_discount,
+         round(l_tax * 100) AS l_tax,
          row_number() OVER (PARTITION BY l_suppkey
                             ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS pos,
          count(*) OVER (PARTITION BY l_suppkey) AS seq_len
