@@ -25,6 +25,13 @@ def _unless_constant(stat: Column, col: str | Column) -> Column:
     return F.when(F.max(col) > F.min(col), stat)
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation over rows where both are known; null for a constant side, where `corr` raises an error."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def share(condition: Column) -> Column:
     """Mean of a condition that counts null as false."""
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))

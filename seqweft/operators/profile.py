@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
+from seqweft.functions.expressions import pearson
 from seqweft.operators.ordered import exact_quantiles, has_hot_key
 
 WIDE_PAIRS = 300  # above this many channel pairs, correlations go through partial product sums
@@ -198,11 +199,7 @@ def correlations(df: DataFrame, channels: Sequence[str], by: Sequence[str] = ())
     """
     pairs = list(combinations(channels, 2))
     if len(pairs) <= WIDE_PAIRS or by:
-        known = {
-            (a, b): F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
-            for a, b in pairs
-        }
-        row = df.groupBy(*by).agg(*[e.alias(f"_{i}") for i, e in enumerate(known.values())])
+        row = df.groupBy(*by).agg(*[pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
         cells = [
             F.struct(F.lit(x).alias("channel_a"), F.lit(y).alias("channel_b"), F.col(f"_{i}").alias("r"))
             for i, (a, b) in enumerate(pairs)

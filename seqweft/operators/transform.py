@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
 from seqweft.functions.expressions import hash_order
-from seqweft.operators.ordered import exact_quantiles, has_hot_key, with_positions
+from seqweft.operators.ordered import exact_quantiles, has_hot_key, salted_join, with_positions
 
 
 def fit_scaler(df: DataFrame, channels: Sequence[str], null_as_zero: bool = False) -> DataFrame:
@@ -191,6 +191,11 @@ def split_with_fallback(df: DataFrame, label: str, key: Sequence[str], test: flo
     return out.drop("_stratum")
 
 
+def with_group_folds(df: DataFrame, group: str, key: Sequence[str], k: int) -> DataFrame:
+    """Adds the fold of the row's group; a group may hold most of the rows, so the join is salted."""
+    return salted_join(df, group_folds(df, group, k), [group], key, "inner")
+
+
 def first_sequences(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Rows of the first `n` sequences in key order."""
     chosen = df.select(*keys).distinct().orderBy(*keys).limit(n)

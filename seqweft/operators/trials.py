@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqweft.functions.expressions import pearson
+
 
 def minutes_between(start: str, end: str) -> Column:
     return F.timestamp_diff("SECOND", start, end) / 60
@@ -50,3 +52,66 @@ def eligible_columns(df: DataFrame) -> DataFrame:
     row = df.agg(*[F.bool_and(F.coalesce(usable(f), F.lit(False))).alias(f.name) for f in numeric])
     cells = [F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("eligible")) for f in numeric]
     return row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+
+
+def group_scores(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    return df.groupBy(*by).agg(
+        F.count(score).alias("n"),
+        F.avg(score).alias("mean"),
+        F.max(score).alias("max"),
+        F.min(score).alias("min"),
+        F.stddev_pop(score).alias("std_pop"),
+        F.stddev_samp(score).alias("std_samp"),
+    )
+
+
+def parameter_correlation(df: DataFrame, params: Sequence[str], score: str, more_than: int = 3) -> DataFrame:
+    """Correlation of each parameter with the score, where there are enough and differing values."""
+    long = df.unpivot([score], list(params), "name", "x").where(F.col("x").isNotNull() & F.col(score).isNotNull())
+    out = long.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), pearson("x", score).alias("r"), (F.min("x") < F.max("x")).alias("_varies")
+    )
+    return out.where((F.col("n") > more_than) & F.col("_varies")).drop("_varies")
+
+
+def fold_summary(scores: DataFrame, fold: str = "fold", score: str = "score") -> DataFrame:
+    s = F.col(score)
+    return scores.agg(
+        F.avg(s).alias("mean"),
+        F.stddev_pop(s).alias("std_pop"),
+        F.max(s).alias("best"),
+        F.min(s).alias("worst"),
+        (F.max(s) - F.min(s)).alias("range"),
+        F.min_by(fold, F.struct(-s, fold)).alias("best_fold"),
+        F.min_by(fold, F.struct(s, fold)).alias("worst_fold"),
+    )
+
+
+def newest_first(records: DataFrame, created: str, name: str) -> DataFrame:
+    return records.orderBy(F.desc(created), name)
+
+
+def best_trial(df: DataFrame, trial: str, score: str, succeeded: Column) -> DataFrame:
+    """The trial of highest score among those that succeeded, and how many did and did not."""
+    value = F.when(succeeded, F.col(score))
+    order = F.when(value.isNotNull(), F.struct(-value, F.col(trial)))
+    return df.agg(
+        F.min_by(trial, order).alias(trial),
+        F.max(value).alias(score),
+        F.count_if(succeeded).alias("succeeded"),
+        F.count_if(~succeeded).alias("not_succeeded"),
+    )
+
+
+def improvement(df: DataFrame, score: str, benchmark: Column) -> DataFrame:
+    out = df.withColumn("_b", benchmark)
+    gain = F.col(score) - F.col("_b")
+    return out.withColumns({"gain": gain, "percent": F.try_divide(gain, F.col("_b")) * 100}).drop("_b")
+
+
+def remaining_time(df: DataFrame, by: Sequence[str], minutes: str, planned: int) -> DataFrame:
+    """Time spent, and the mean time per trial times the trials still planned."""
+    done = F.count(F.lit(1))
+    return df.groupBy(*by).agg(
+        F.sum(minutes).alias("elapsed_minutes"), (F.avg(minutes) * (planned - done)).alias("remaining_minutes")
+    )
