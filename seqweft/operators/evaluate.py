@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweft.functions.labels import NON_TARGET, TARGET_GESTURES
+from seqweft.operators.ordered import salted_join
 
 
 def vote(df: DataFrame, keys: Sequence[str], label: str = "class", probability: str = "probability") -> DataFrame:
@@ -152,7 +153,8 @@ def violations(expected: DataFrame, answers: DataFrame, key: str, label: str, al
     def because(df: DataFrame, reason: str) -> DataFrame:
         return df.select(F.col(key), F.lit(reason).alias("reason"))
 
-    unknown = answers.where(F.col(label).isNotNull()).join(allowed.select(label).distinct(), label, "left_anti")
+    labelled = answers.where(F.col(label).isNotNull())
+    unknown = salted_join(labelled, allowed.select(label).distinct(), [label], [key], "left_anti")
     parts = [
         because(expected.select(key).join(counted, key, "left_anti"), "missing"),
         because(counted.join(expected.select(key), key, "left_anti"), "unexpected"),

@@ -27,21 +27,29 @@ SLICES = ["_slice1", "_slice2"]
 IS_HOT = f"{SLICES[0]} > 0"
 
 
-def ordinal(df: DataFrame, name: str) -> Column | None:
-    """A double that never decreases along the order of the column; None if the type has no such form."""
+def ordinals(df: DataFrame, name: str) -> list[Column]:
+    """Doubles that follow the order of the column: each decides only where all before it are equal.
+
+    Empty for types that have none, such as arrays.
+    """
     kind = df.schema[name].dataType
     col = F.col(name)
     if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return col.cast("double")
+        return [col.cast("double")]
     if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
+        return [F.unix_date(col).cast("double")]
     if isinstance(kind, T.TimestampNTZType):
         # read off the fields: a cast to a zoned timestamp would not be monotone at clock changes
         seconds = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-        return (F.unix_date(col.cast("date")) * F.lit(86400.0) + seconds).cast("double")
+        return [(F.unix_date(col.cast("date")) * F.lit(86400.0) + seconds).cast("double")]
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col).cast("double")
-    return None
+        return [F.unix_micros(col).cast("double")]
+    if isinstance(kind, T.StringType):
+        # six bytes at a time, as names often share a long prefix
+        raw = col.cast("binary")
+        parts = [F.rpad(F.hex(F.substring(raw, at, 6)), 12, "0") for at in (1, 7, 13, 19)]
+        return [F.conv(p, 16, 10).cast("double") for p in parts]
+    return []
 
 
 def hot_row_limit(df: DataFrame) -> int:
@@ -71,10 +79,10 @@ def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
     A hot key is cut by equal width over its own range, and a slice that is still too full is cut once
     more. Each cut uses the first order column that varies inside the group, so long ties are cut by the
-    next column. Bounds come from exact minima and maxima, so a recomputed task finds the same slices.
+    next column; of strings, the first six bytes that vary. Bounds come from exact minima and maxima, so a recomputed task finds the same slices.
     """
     hot_rows = hot_row_limit(df)
-    scales = [s for o in order if (s := ordinal(df, o)) is not None]
+    scales = [s for o in order for s in ordinals(df, o)]
     by = list(keys)
     for level in SLICES:
         source = df if level == SLICES[0] else df.where(IS_HOT)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
 from seqweft.functions.expressions import pearson
-from seqweft.operators.ordered import exact_quantiles, has_hot_key
+from seqweft.operators.ordered import exact_quantiles, has_hot_key, salted_join
 
 WIDE_PAIRS = 300  # above this many channel pairs, correlations go through partial product sums
 
@@ -160,7 +160,7 @@ def box_numbers(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     boxes = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     if by:
-        joined = counts.join(boxes, list(by))
+        joined = salted_join(counts, boxes, by, [value], "inner")
     else:
         box = boxes.select(F.struct("q1", "median", "q3").alias("_b")).scalar()
         joined = counts.select("*", box.alias("_b")).select(*counts.columns, "_b.*")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqweft.operators.ordered import salted_join
+
 MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -83,6 +85,7 @@ def predict_sequences(
     on: Sequence[str],
     key: Sequence[str],
     make_predict: Callable[[], Callable[[pd.DataFrame], pd.Series]],
+    salt: Sequence[str] = ("start_idx",),
     name: str = "label",
 ) -> DataFrame:
     """A label per sequence by a user's predictor: windows with their attributes go through it batch by
@@ -90,7 +93,7 @@ def predict_sequences(
 
     `make_predict` runs once per task, so that a model is loaded once and not per batch.
     """
-    joined = windows.join(attributes, list(on), "left")
+    joined = salted_join(windows, attributes, on, salt)
     schema = T.StructType([windows.schema[k] for k in key] + [T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

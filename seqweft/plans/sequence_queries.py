@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqweft.operators import clean, sequences
-from seqweft.operators.ordered import exact_quantiles, slice_columns, with_lag, with_sequence_mean
+from seqweft.operators.ordered import exact_quantiles, salted_join, slice_columns, with_lag, with_sequence_mean
 from seqweft.plans.adapters import (
     EVENT_KEYS,
     EVENTS_SQL,
@@ -250,7 +250,8 @@ def representative_sequence(spark, sf):
     middle = exact_quantiles(lengths, ["event_type"], "seq_len", {"med": 0.5})
     off = F.struct(F.abs(F.col("seq_len") - F.col("med")), "user_id")
     best = F.min_by(F.struct("user_id", "seq_len"), off).alias("_best")
-    return lengths.join(middle, "event_type").groupBy("event_type").agg(best).select("event_type", "_best.*")
+    met = salted_join(lengths, middle, ["event_type"], ["user_id"], "inner")
+    return met.groupBy("event_type").agg(best).select("event_type", "_best.*")
 
 
 @query(

@@ -107,10 +107,11 @@ def scaling_check(spark, sf):
 )
 def encode_labels(spark, sf):
     df = table(spark, sf, "events").select("event_id", "event_type")
-    # the label set is a small vocabulary; Spark checks its size before it broadcasts it
     codes = label_codes(df, "event_type")
     back = codes.select("code", F.col("event_type").alias("decoded"))
-    return df.join(codes, "event_type").join(back, "code").select("event_id", "event_type", "code", "decoded")
+    encoded = tf.salted_join(df, codes, ["event_type"], ["event_id"], "inner")
+    decoded = tf.salted_join(encoded, back, ["code"], ["event_id"], "inner")
+    return decoded.select("event_id", "event_type", "code", "decoded")
 
 
 @query("m6_principal_components")
