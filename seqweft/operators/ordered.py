@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqweft.session import scratch_path
+
 HOT_ROWS = 1 << 20  # a key with more rows than this is sliced; setting spark.seqweft.hotRows overrides it
 HOT_KEYS = 1 << 16  # broadcast bound: keys beyond the largest 65,536 hold under 1/65,536 of the rows each
 
-SLICES = ["_slice1", "_slice2"]
+SLICES = ["_slice1", "_slice2", "_slice3", "_slice4"]  # rounds of slicing; most data need one or two
 IS_HOT = f"{SLICES[0]} > 0"
 
 
@@ -74,29 +76,36 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence
     return df.select("*", row.alias("_row")).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: a cut in the lineage that outlives executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds `_slice1`, `_slice2`: 0 where nothing is cut, else slice numbers from 1 that follow the order.
+    """Adds the slice columns: 0 where nothing is cut, else slice numbers from 1 that follow the order.
 
-    A hot key is cut by equal width over its own range, and a slice that is still too full is cut once
-    more. Each cut uses the first order column that varies inside the group, so long ties are cut by the
-    next column; of strings, the first six bytes that vary. Bounds come from exact minima and maxima, so a recomputed task finds the same slices.
+    A hot key is cut by equal width over its own range; slices still too full, as skewed orders leave
+    them, are cut again in the next round. Each cut uses the first order column that varies inside the
+    group, so long ties are cut by the next column; of strings, the first six bytes that vary. Bounds
+    come from exact minima and maxima, so a recomputed task finds the same slices.
     """
     hot_rows = hot_row_limit(df)
     scales = [s for o in order for s in ordinals(df, o)]
-    by = list(keys)
+    bounds = [f(s).alias(f"_{end}{i}") for i, s in enumerate(scales) for end, f in (("lo", F.min), ("hi", F.max))]
+    names = [f"_{end}{i}" for i in range(len(scales)) for end in ("lo", "hi")]
+    by, finished = list(keys), False
     for level in SLICES:
-        source = df if level == SLICES[0] else df.where(IS_HOT)
-        bounds = [f(s).alias(f"_{end}{i}") for i, s in enumerate(scales) for end, f in (("lo", F.min), ("hi", F.max))]
-        names = [f"_{end}{i}" for i in range(len(scales)) for end in ("lo", "hi")]
-        hot = (
-            source.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("_rows"), *bounds)
-            .where(F.col("_rows") > hot_rows)
-            .orderBy(F.desc("_rows"), *by)
-            .limit(HOT_KEYS)
-            .withColumn("_parts", F.ceil(F.col("_rows") / F.lit(float(hot_rows))).cast("double"))
-            .drop("_rows")
-        )
+        if not finished:
+            source = df if level == SLICES[0] else df.where(F.col(by[-1]) > 0)
+            crowded = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *bounds).where(F.col("_rows") > hot_rows)
+            parts = F.ceil(F.col("_rows") / F.lit(float(hot_rows))).cast("double").alias("_parts")
+            hot = stored(crowded.orderBy(F.desc("_rows"), *by).limit(HOT_KEYS).select(*by, parts, *names), "hot-keys")
+            finished = hot.isEmpty()
+        if finished:
+            df = df.withColumn(level, F.lit(0).cast("long"))
+            continue
         columns = df.columns
         joined = _attach(df, hot, by, ["_parts", *names])
         number = F.lit(1)
@@ -164,7 +173,10 @@ def with_positions(
     cols = [*df.columns, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_rank")).cast("long").alias(pos)]
     if length:
         cols.append(F.coalesce(F.col("_total"), F.col("_size")).cast("long").alias(length))
-    return out.select(*cols, *(SLICES if keep_slices else []))
+    if not keep_slices:
+        return out.select(*cols)
+    # look-ups read these rows once more per branch for hot keys, so they are written once instead
+    return stored(out.select(*cols, *SLICES), "positions")
 
 
 def exact_quantiles(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seqweft.operators import clean, sequences
 from seqweft.operators.ordered import (
+    SLICES,
     exact_quantiles,
     has_hot_key,
     slice_hot_keys,
@@ -72,8 +73,10 @@ def test_hot_key_is_cut_into_small_slices(spark):
     try:
         df = spark.range(2000).select(F.lit(1).alias("key"), (F.col("id") % 3).alias("tie"), "id")
         assert has_hot_key(df, ["key"])
-        sizes = slice_hot_keys(df, ["key"], ["tie", "id"]).groupBy("_slice1", "_slice2").count().toPandas()
-        assert sizes["count"].sum() == 2000 and sizes["count"].max() <= 60
+        for order in (["tie", "id"], ["skewed", "id"]):
+            made = df.withColumn("skewed", F.pow(F.lit(1.02), F.least(F.col("id"), F.lit(400))))
+            sizes = slice_hot_keys(made, ["key"], order).groupBy(*SLICES).count().toPandas()
+            assert sizes["count"].sum() == 2000 and sizes["count"].max() <= 60
     finally:
         spark.conf.unset("spark.seqweft.hotRows")
 
