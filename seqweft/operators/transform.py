@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
@@ -71,6 +71,49 @@ def fit_window_scaler(windows: DataFrame, channels: Sequence[str]) -> DataFrame:
     )
 
 
+def fit_reading_scaler(
+    readings: DataFrame,
+    channels: Sequence[str],
+    width: int,
+    stride: int,
+    min_length: int = 0,
+    centre_from: DataFrame | None = None,
+    pos: str = "pos",
+    length: str = "seq_len",
+) -> DataFrame:
+    """The scaler `fit_window_scaler` finds, without making the windows.
+
+    How many windows a reading is in follows from its position and its sequence's length, so one weighted
+    aggregate over the readings is enough. Sums are taken around the plain mean of `centre_from`.
+    """
+    p, n = F.col(pos), F.col(length)
+    first = F.greatest(F.ceil((p - width + 1) / stride), F.lit(0))
+    last = F.least(F.floor(p / stride), F.floor((n - width) / stride))
+    short = n < width
+    times = F.when(short, F.lit(1)).otherwise(F.greatest(last - first + 1, F.lit(0))).cast("double")
+    padded = F.when(short & (p == 0), width - n).otherwise(F.lit(0)).cast("double")
+    source = readings if centre_from is None else centre_from
+    centre = source.agg(F.struct(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in channels])).scalar()
+    based = readings.where(n >= min_length).select(*channels, times.alias("_t"), padded.alias("_z"), centre.alias("_m"))
+    t, z = F.col("_t"), F.col("_z")
+    sums = [F.sum(t + z).alias("_n")]
+    for c in channels:
+        m = F.col("_m")[c]
+        off = F.coalesce(F.col(c), F.lit(0.0)) - m
+        sums += [
+            F.max(m).alias(f"_m_{c}"),
+            F.sum(t * off - z * m).alias(f"_a_{c}"),
+            F.sum(t * off * off + z * m * m).alias(f"_b_{c}"),
+        ]
+    row = based.agg(*sums)
+    shift = {c: F.col(f"_a_{c}") / F.col("_n") for c in channels}
+    spread = {c: F.sqrt(F.greatest(F.col(f"_b_{c}") / F.col("_n") - shift[c] * shift[c], F.lit(0.0))) for c in channels}
+    return row.select(
+        *[(F.col(f"_m_{c}") + shift[c]).alias(f"{c}_mean") for c in channels],
+        *[F.when(spread[c] == 0, F.lit(1.0)).otherwise(spread[c]).alias(f"{c}_std_pop") for c in channels],
+    )
+
+
 def apply_window_scaler(windows: DataFrame, scaler: DataFrame, channels: Sequence[str]) -> DataFrame:
     stats = scaler.select(F.struct("*")).scalar()
     out = windows.select("*", stats.alias("_s"))
@@ -134,10 +177,14 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     placed = long.join(F.broadcast(cut), "channel")
     bin_of = F.size(F.filter("_edges", lambda e: F.col("value") > e))
     cells = placed.groupBy("channel", label, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by_bin = cells.groupBy("channel", "bin").agg(F.sum("n").alias("n_bin"))
-    by_label = cells.groupBy("channel", label).agg(F.sum("n").alias("n_label"))
-    total = cells.groupBy("channel").agg(F.sum("n").alias("n_all"))
-    joined = cells.join(by_bin, ["channel", "bin"]).join(by_label, ["channel", label]).join(total, "channel")
+    # features x labels x bins rows are left, so sums over them are cheap windows
+    joined = cells.withColumns(
+        {
+            "n_bin": F.sum("n").over(Window.partitionBy("channel", "bin")),
+            "n_label": F.sum("n").over(Window.partitionBy("channel", label)),
+            "n_all": F.sum("n").over(Window.partitionBy("channel")),
+        }
+    )
     p = F.col("n") / F.col("n_all")
     term = p * F.log(F.col("n") * F.col("n_all") / (F.col("n_bin") * F.col("n_label")))
     return joined.groupBy(F.col("channel").alias("feature")).agg(F.sum(term).alias("mi_score"))

@@ -14,6 +14,7 @@ GROUPS = [
     "evaluation_queries",
     "trial_queries",
     "streaming_queries",
+    "flow_queries",
 ]
 
 

@@ -15,6 +15,7 @@ from seqweft.plans.adapters import (
     GAPPY_SQL,
     PREDICTIONS_SQL,
     SUBJECTS_SQL,
+    events,
     gappy_events,
     predictions,
     subjects,
@@ -29,18 +30,29 @@ from seqweft.sources.writers import write_parquet
 _HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 
 
-@query(
-    "m1_window_standardisation",
+_STANDARDISED = (
     f"""WITH {WINDOWS_SQL}, pt AS (SELECT user_id, start_idx, t, value[t + 1] AS v FROM w, range(0, 64) AS g(t)),
     s AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM pt)
-    SELECT user_id, start_idx, list(round((v - m) / s, 6) ORDER BY t) AS value FROM pt, s GROUP BY user_id, start_idx""",
+    SELECT user_id, start_idx, list(round((v - m) / s, 6) ORDER BY t) AS value FROM pt, s GROUP BY user_id, start_idx"""
 )
+
+
+@query("m1_window_standardisation", _STANDARDISED)
 def window_standardisation(spark, sf):
     windows = event_windows(spark, sf).select(*WINDOW_ID, "value")
     scaled = tf.apply_window_scaler(windows, tf.fit_window_scaler(windows, ["value"]), ["value"])
     return scaled.withColumn("value", F.transform("value", lambda x: F.round(x, 6)))
 
 
+@query("m1_standardisation_from_readings", _STANDARDISED)
+def standardisation_from_readings(spark, sf):
+    """The same scaler by weighting each reading with the number of windows it is in."""
+    readings = events(spark, sf)
+    scaler = tf.fit_reading_scaler(readings, ["value"], 64, 16, 10, centre_from=table(spark, sf, "events"))
+    scaled = tf.apply_window_scaler(event_windows(spark, sf).select(*WINDOW_ID, "value"), scaler, ["value"])
+    return scaled.withColumn("value", F.transform("value", lambda x: F.round(x, 6)))
+
+
 @query(
     "m2_tabular_standardisation",
     f"""WITH {GAPPY_SQL}, s AS (SELECT avg(value) AS m, stddev_pop(value) AS s, avg(k) AS km, stddev_pop(k) AS ks FROM gap)

@@ -11,7 +11,8 @@ from seqweft.operators import clean, profile
 from seqweft.operators import evaluate as ev
 from seqweft.operators import models
 from seqweft.operators import transform as tf
-from seqweft.operators.ordered import salted_join
+from seqweft.operators.ordered import salted_join, with_positions
+from seqweft.operators.windows import sliding_windows
 from seqweft.session import scratch_path
 from seqweft.sources import readers, writers
 
@@ -133,6 +134,18 @@ def test_scaler_keeps_constants_and_nulls(spark):
     assert [r["a"] for r in got] == [-1.0, 1.0, None] and [r["b"] for r in got] == [0.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("shape", [(8, 4), (8, 3), (8, 8), (16, 5)])
+def test_scaler_from_readings_equals_scaler_from_windows(spark, mode, shape):
+    rng = np.random.default_rng(0)
+    rows = [(k, i, float(rng.normal() + 100)) for k, n in enumerate([2, 5, 7, 8, 9, 30, 61]) for i in range(n)]
+    raw = spark.createDataFrame(rows, "key long, at long, v double")
+    placed = with_positions(raw, ["key"], ["at"], length="seq_len", keep_slices=True)
+    windows = sliding_windows(placed, ["key"], ["v"], shape, min_length=3)
+    a = tf.fit_window_scaler(windows, ["v"]).first()
+    b = tf.fit_reading_scaler(placed, ["v"], *shape, 3).first()
+    assert np.allclose(list(a), list(b), rtol=1e-9)
+
+
 def test_anova_matches_the_formula(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"f": rng.normal(size=90) + 50, "label": np.repeat([0, 1, 2], 30)})
