@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqweft.functions.expressions import sample_kurtosis, sample_skew
 from seqweft.functions.kernels import BANDS, SAMPLING_HZ, amplitude, band_energy, wavelet_energy
-from seqweft.operators.ordered import exact_quantiles, has_hot_key
+from seqweft.operators.ordered import exact_quantiles, has_hot_key, slice_columns
 
 ZERO = 0.0
 
@@ -94,6 +94,21 @@ def window_spectrum(
     return got.select(*keep, "bin", (F.col("bin") * F.lit(float(fs)) / F.col("_w")).alias("frequency"), "amplitude")
 
 
+def sequence_spectrum(
+    df: DataFrame, keys: Sequence[str], channel: str, fs: float = SAMPLING_HZ, pos: str = "pos"
+) -> DataFrame:
+    """Amplitudes of whole sequences of bounded length, missing values taken as 0.
+
+    A Fourier transform needs all of its input at once, so a sequence long enough to be sliced is refused:
+    cut it into windows and use `window_spectrum`.
+    """
+    if slice_columns(df):
+        raise ValueError("a sequence is too long for one transform; cut it into windows")
+    rows = F.sort_array(F.collect_list(F.struct(pos, F.coalesce(F.col(channel), F.lit(ZERO)).alias("v"))))
+    whole = df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.col("_rows.v").alias(channel))
+    return window_spectrum(whole, channel, keys, fs)
+
+
 def window_wavelet_energy(
     windows: DataFrame, channels: Sequence[str], keep: Sequence[str], level: int = 3
 ) -> DataFrame:

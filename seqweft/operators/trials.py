@@ -12,7 +12,8 @@ from seqweft.functions.expressions import pearson
 
 
 def minutes_between(start: str, end: str) -> Column:
-    return F.timestamp_diff("SECOND", start, end) / 60
+    """Subtraction, unlike a cast to a zoned timestamp, does not depend on the session's time zone."""
+    return (F.col(end) - F.col(start)).cast("interval second").cast("long") / 60
 
 
 def normal_interval(df: DataFrame, mean: str, std: str, z: float = 1.96) -> DataFrame:

@@ -22,20 +22,20 @@ PADDING = 0.0
 
 
 def with_first(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pos: str = "pos") -> DataFrame:
-    """Replaces the columns by the values on the sequence's first row."""
+    """Replaces the columns by the values on the sequence's first row.
+
+    The frame is the whole partition, so no order is needed and the ranking's sort is not repeated.
+    """
     if not cols:
         return df
-    by = [*keys, *slice_columns(df)]
-    order = Window.partitionBy(*by).orderBy(pos)
-    out = df.withColumns({f"_f_{c}": F.first(c).over(order) for c in cols})
+    whole = Window.partitionBy(*keys, *slice_columns(df))
+    out = df.withColumn("_first", F.min_by(F.struct(*cols), pos).over(whole))
     if slice_columns(df):
         # at most HOT_KEYS rows
-        firsts = df.where(IS_HOT).where(F.col(pos) == 0).select(*keys, F.struct(*cols).alias("_first"))
+        firsts = df.where(IS_HOT).where(F.col(pos) == 0).select(*keys, F.struct(*cols).alias("_hot_first"))
         out = out.join(F.broadcast(firsts), list(keys), "left")
-        out = out.withColumns(
-            {f"_f_{c}": F.when(F.col("_first").isNotNull(), F.col("_first")[c]).otherwise(F.col(f"_f_{c}")) for c in cols}
-        )
-    return out.select(*[F.col(f"_f_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
+        out = out.withColumn("_first", F.coalesce("_hot_first", "_first"))
+    return out.select(*[F.col("_first")[c].alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def chunks(

@@ -18,6 +18,7 @@ from seqweft.plans.adapters import (
     LINE_CHANNELS,
     LINE_KEYS,
     LINES_SQL,
+    events,
     gappy_events,
     grid,
     line_channels,
@@ -99,6 +100,19 @@ def amplitude_spectrum(spark, sf):
     return out.withColumn("amplitude", F.round("amplitude", 5))
 
 
+@query(
+    "g3_sequence_spectrum",
+    f"""WITH {EVENTS_SQL}, b AS (SELECT DISTINCT user_id, seq_len, unnest(range(0, seq_len // 2)) AS bin FROM ev)
+    SELECT user_id, CAST(bin AS INTEGER) AS bin, bin * 50.0::DOUBLE / any_value(ev.seq_len) AS frequency,
+           round(sqrt(pow(sum(value * cos(2 * pi() * bin * pos / ev.seq_len)), 2)
+                    + pow(sum(value * sin(2 * pi() * bin * pos / ev.seq_len)), 2)), 5) AS amplitude
+    FROM ev JOIN b USING (user_id) GROUP BY user_id, bin""",
+)
+def sequence_spectrum(spark, sf):
+    out = feat.sequence_spectrum(events(spark, sf), EVENT_KEYS, "value")
+    return out.withColumn("amplitude", F.round("amplitude", 5))
+
+
 def _taps(values) -> str:
     return "[" + ", ".join(f"{v!r}::DOUBLE" for v in values) + "]"
 
