@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqweft.functions.channels import to_long
 from seqweft.functions.expressions import sample_kurtosis, sample_skew
 from seqweft.functions.kernels import BANDS, SAMPLING_HZ, amplitude, band_energy, wavelet_energy
 from seqweft.operators.ordered import exact_quantiles, has_hot_key, slice_columns
@@ -146,12 +147,7 @@ def channel_statistics(
     Moments come from one map-side combined aggregate; quantiles from counted values.
     """
     keys = list(keys)
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels])
-        ).alias("_r"),
-    ).select(*keys, "_r.channel", "_r.value")
+    long = to_long(df, keys, channels)
     by = [*keys, "channel"]
     v = F.col("value")
     exprs = {

@@ -17,14 +17,6 @@ from seqweft.operators.ordered import exact_quantiles, has_hot_key, salted_join
 WIDE_PAIRS = 300  # above this many channel pairs, correlations go through partial product sums
 
 
-def _unpivoted(row: DataFrame, names: Sequence[str], parts: dict[str, dict[str, str]], label: str) -> DataFrame:
-    """A one-row aggregate with a column per channel and part, turned into one row per channel."""
-    cells = [
-        F.struct(F.lit(n).alias(label), *[F.col(parts[p][n]).alias(p) for p in parts]) for n in names
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
-
-
 def column_report(df: DataFrame) -> DataFrame:
     """Type, rows and nulls of every column, and how many columns there are."""
     types = dict(df.dtypes)
@@ -44,12 +36,12 @@ def column_report(df: DataFrame) -> DataFrame:
 
 def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null count and ratio per column; one scan, one row of partial counts per task."""
-    row = df.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns],
-        *[F.avg(F.col(c).isNull().cast("double")).alias(f"_r_{c}") for c in columns],
-    )
-    parts = {"nulls": {c: f"_n_{c}" for c in columns}, "ratio": {c: f"_r_{c}" for c in columns}}
-    return _unpivoted(row, columns, parts, "column")
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns])
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(f"_n_{c}").alias("nulls"), (F.col(f"_n_{c}") / F.col("_rows")).alias("ratio"))
+        for c in columns
+    ]
+    return row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
 def value_counts(df: DataFrame, *by: str, name: str = "n") -> DataFrame:

@@ -47,7 +47,9 @@ def apply_in_chunks(
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return fn(frame.drop(columns="_chunk").sort_values(pos, ignore_index=True))
 
-    return spread.groupBy(*keys, "_chunk").applyInPandas(run, schema)
+    # an explicit number keeps small inputs spread: the function's cost, not the bytes, sets the time
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(tasks, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(run, schema)
 
 
 def aggregate_in_parts(
