@@ -196,6 +196,25 @@ def saved_transform(spark, sf):
     )
 
 
+@query(
+    "s12_saved_scaler",
+    """WITH s AS (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem)
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((l_quantity - m) / s, 6) AS scaled FROM lineitem, s""",
+)
+def saved_scaler(spark, sf):
+    """Spark's own scaler, which divides by the sample deviation, fitted, saved, loaded and applied."""
+    path = scratch_path(spark, "scaler-model")
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    stages = [
+        VectorAssembler(inputCols=["l_quantity"], outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
+    ]
+    Pipeline(stages=stages).fit(df).write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(df)
+    value = F.round(vector_to_array("scaled")[0], 6).alias("scaled")
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", value)
+
+
 @query(
     "s13_channels_by_name",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate

@@ -63,6 +63,29 @@ def score_arriving_sequences(spark, sf):
     return spark.read.parquet(answers).select("user_id", "class", "confidence")
 
 
+def _summaries(batch):
+    readings = with_positions(batch, EVENT_KEYS, ["ts", "event_id"], length="seq_len", keep_slices=True)
+    windows = sliding_windows(readings, EVENT_KEYS, ["value"], (64, 16), min_length=0)
+    stats = feat.window_statistics(windows, ["value"], EVENT_KEYS)
+    return stats.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("windows"), F.round(F.avg("value_rms"), 6).alias("mean_rms"), F.max("value_range").alias("range")
+    )
+
+
+@query(
+    "st1_summaries_of_arriving_sequences",
+    f"""WITH {EVENTS_SQL}, {windows_sql('ev', 'user_id', ['value'], 64, 16, -1, 'w')},
+    s AS (SELECT user_id, start_idx, sqrt(list_sum(list_transform(value, lambda x: x * x)) / 64) AS rms,
+          list_max(value) - list_min(value) AS r FROM w)
+    SELECT user_id, count(*) AS windows, round(avg(rms), 6) AS mean_rms, max(r) AS range FROM s GROUP BY user_id""",
+)
+def summaries_of_arriving_sequences(spark, sf):
+    source, answers = _stage_whole_sequences(spark, sf), scratch_path(spark, "summaries")
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    score_arrivals(stream, _summaries, answers, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(answers).drop("batch")
+
+
 @query(
     "st2_windows_from_pieces",
     f"""WITH {EVENTS_SQL}, {windows_sql('ev', 'user_id', ['value'], 32, 16, 10, 'w')}

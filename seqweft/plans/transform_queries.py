@@ -134,6 +134,20 @@ def principal_components(spark, sf):
     return scores.select("subject", *[F.round(F.abs(f"pc{i + 1}"), 6).alias(f"pc{i + 1}") for i in range(18)])
 
 
+@query(
+    "m6_component_variances",
+    f"""WITH {SUBJECTS_SQL}, c AS (SELECT var_samp(age) AS a, var_samp(height_cm) AS d, covar_samp(age, height_cm) AS b FROM sub)
+    SELECT round((a + d) / 2 + sqrt(pow((a - d) / 2, 2) + b * b), 6) AS first,
+           round((a + d) / 2 - sqrt(pow((a - d) / 2, 2) + b * b), 6) AS second FROM c""",
+)
+def component_variances(spark, sf):
+    """Two components of two attributes: their variances are the eigenvalues SQL can write down."""
+    scores, _ = models.principal_components(subjects(spark, sf), ["age", "height_cm"], 2, ["subject"])
+    return scores.agg(
+        F.round(F.var_samp("pc1"), 6).alias("first"), F.round(F.var_samp("pc2"), 6).alias("second")
+    )
+
+
 # fixed values: positions of the eight chosen attribute features
 CHOSEN = [8, 6, 17, 2, 5, 7, 3, 16]
 
