@@ -32,11 +32,6 @@ def pearson(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def share(condition: Column) -> Column:
-    """Mean of a condition that counts null as false."""
-    return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
-
-
 def hash_order(*cols: str | Column) -> Column:
     """A repeatable pseudo-random whole number in [0, 2^32), equal in any engine that has md5."""
     text = F.concat_ws("|", *cols)

@@ -257,7 +257,3 @@ def low_cardinality(df: DataFrame, columns: Sequence[str], at_most: int = 3) ->
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     pairs = df.select(F.explode(cells).alias("_p")).select("_p.*").where(F.col("value").isNotNull()).distinct()
     return pairs.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")).where(F.col("distinct_values") <= at_most)
-
-
-def condition_share(df: DataFrame, by: Sequence[str], condition: Column, name: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(F.coalesce(condition, F.lit(False)).cast("double")).alias(name))

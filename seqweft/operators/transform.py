@@ -194,6 +194,13 @@ def top_features(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.orderBy(F.desc(score), "feature").limit(k)
 
 
+def label_codes(df: DataFrame, label: str) -> DataFrame:
+    """Labels with whole-number codes in alphabetical order, one row per label."""
+    names = df.select(label).where(F.col(label).isNotNull()).distinct()
+    ranked = with_positions(names, [], [label], pos="code")
+    return ranked.select(label, F.col("code").cast("int").alias("code"))
+
+
 # ---- splits ---------------------------------------------------------------------------------------
 
 

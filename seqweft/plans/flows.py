@@ -12,7 +12,6 @@ from seqweft.functions import geometry as geo
 from seqweft.functions.attributes import FEATURES, attribute_features
 from seqweft.functions.channels import families
 from seqweft.functions.handedness import mirror_left_v2
-from seqweft.functions.labels import label_codes
 from seqweft.operators import clean, windows as win
 from seqweft.operators import evaluate as ev
 from seqweft.operators import transform as tf
@@ -57,7 +56,7 @@ def training_set(
     scaler = tf.fit_reading_scaler(placed, channels, *config, min_length, centre_from=readings)
     features = attribute_features(attributes, keep=[subject])
     attribute_scaler = tf.fit_scaler(features, FEATURES, null_as_zero=True)
-    codes = label_codes(readings, label)
+    codes = tf.label_codes(readings, label)
     scaled = tf.apply_window_scaler(cut, scaler, channels)
     described = tf.apply_scaler(features, attribute_scaler, FEATURES, null_as_zero=True)
     joined = salted_join(scaled, described, [subject], ["start_idx"])

@@ -229,14 +229,15 @@ def linear_reconstruction(spark, sf):
     model = PCA(k=8, inputCol="x", outputCol="scores").fit(base)
     axes = model.pc.toArray().T.tolist()
     scores = model.transform(base).select("vec_id", vector_to_array("x").alias("x"), vector_to_array("scores").alias("s"))
-    parts = [F.transform(F.array(*[F.lit(v) for v in axis]), lambda a, i=None: a) for axis in axes]
-    rebuilt = F.transform(parts[0], lambda a: a * F.get("s", F.lit(0)))
-    for i, part in enumerate(parts[1:], start=1):
-        rebuilt = F.zip_with(rebuilt, F.transform(part, _scaled_by(i)), lambda a, b: a + b)
+    parts = [F.transform(F.array(*[F.lit(v) for v in axis]), _scaled_by(i)) for i, axis in enumerate(axes)]
+    rebuilt = parts[0]
+    for part in parts[1:]:
+        rebuilt = F.zip_with(rebuilt, part, lambda a, b: a + b)
     return scores.select("vec_id", feat.reconstruction_error(F.col("x"), rebuilt).alias("error"))
 
 
 def _scaled_by(i: int):
+    """Multiplies by the row's score on component i."""
     return lambda a: a * F.get("s", F.lit(i))
 
 

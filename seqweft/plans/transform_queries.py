@@ -7,7 +7,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from seqweft.functions import attributes as att
-from seqweft.functions.labels import label_codes
 from seqweft.operators import models
 from seqweft.operators import transform as tf
 from seqweft.operators.trials import combined_scores
@@ -119,7 +118,7 @@ def scaling_check(spark, sf):
 )
 def encode_labels(spark, sf):
     df = table(spark, sf, "events").select("event_id", "event_type")
-    codes = label_codes(df, "event_type")
+    codes = tf.label_codes(df, "event_type")
     back = codes.select("code", F.col("event_type").alias("decoded"))
     encoded = tf.salted_join(df, codes, ["event_type"], ["event_id"], "inner")
     decoded = tf.salted_join(encoded, back, ["code"], ["event_id"], "inner")
