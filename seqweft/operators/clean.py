@@ -66,6 +66,7 @@ def fill_gaps(
     limits: dict[str, int],
     then_carry: Sequence[str] = (),
     pos: str = "pos",
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Linear interpolation per sequence, reaching `limits[c]` positions from a known value on either side.
 
@@ -74,7 +75,7 @@ def fill_gaps(
     after; filled gaps count as values then. All channels share the sorts and the one shuffle.
     """
     channels = list(limits)
-    looked = nearest_known(df, keys, channels, pos)
+    looked = nearest_known(df, keys, channels, pos, order=order)
     out = {}
     for c in channels:
         prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
@@ -102,9 +103,10 @@ def carry_fill(
     keys: Sequence[str],
     channels: Sequence[str],
     pos: str = "pos",
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Forward fill, then backward fill for what precedes the first known value."""
-    looked = nearest_known(df, keys, channels, pos)
+    looked = nearest_known(df, keys, channels, pos, order=order)
     out = {c: F.coalesce(F.col(f"_prev_{c}")["v"], F.col(f"_next_{c}")["v"]) for c in channels}
     return looked.withColumns(out).select(*df.columns)
 
@@ -116,10 +118,11 @@ def clean_uniform(
     sentinel_channels: Sequence[str] | None = None,
     gap: int = 5,
     pos: str = "pos",
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Sentinel to null, interpolation over short gaps, then carrying: the same for every channel."""
     marked = sentinel_to_null(df, channels if sentinel_channels is None else sentinel_channels)
-    return fill_gaps(marked, keys, {c: gap for c in channels}, then_carry=channels, pos=pos)
+    return fill_gaps(marked, keys, {c: gap for c in channels}, then_carry=channels, pos=pos, order=order)
 
 
 def clean_by_family(
@@ -128,6 +131,7 @@ def clean_by_family(
     families: dict[str, Sequence[str]],
     limits: dict[str, int | None] | None = None,
     pos: str = "pos",
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Gap filling with a limit per family; time of flight loses its sentinel first and ends at zero,
     thermal channels are carried on after interpolation."""
@@ -137,5 +141,5 @@ def clean_by_family(
     per_channel = {c: limits[f] for f, cs in families.items() for c in cs if limits.get(f) is not None}
     if per_channel:
         carried = list(families.get("thm", []))
-        df = fill_gaps(df, keys, per_channel, then_carry=carried, pos=pos)
+        df = fill_gaps(df, keys, per_channel, then_carry=carried, pos=pos, order=order)
     return df.fillna(0.0, tof) if tof else df

@@ -211,25 +211,41 @@ def exact_quantiles(
 
 
 # ---- look-ups along a sequence -------------------------------------------------------------------
-# They take readings made by `with_positions(..., keep_slices=True)`.
+# They take readings made by `with_positions(..., keep_slices=True)`. `order` names the columns that ranked
+# them, if they are still there unchanged: the ranking's sort then serves the look-up as well.
+
+
+def _row_order(df: DataFrame, pos: str, order: Sequence[str] | None) -> list[str]:
+    return list(order) if order and not slice_columns(df) else [pos]
 
 
 def nearest_known(
-    df: DataFrame, keys: Sequence[str], channels: Sequence[str], pos: str = "pos", strict: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    pos: str = "pos",
+    strict: bool = False,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds `_prev_<c>` and `_next_<c>`: struct(v, at) of the nearest non-null reading on each side.
 
-    The row itself counts unless `strict`.
+    The row itself counts unless `strict`. Both sides of all channels come from one pass over one sort.
     """
     by = [*keys, *slice_columns(df)]
     marked = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(pos).alias("at"))) for c in channels}
-    end = -1 if strict else 0
-    back = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
-    # descending, as a frame that runs to the end of the partition is quadratic in Spark
-    ahead = Window.partitionBy(*by).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, end)
+    rows = _row_order(df, pos, order)
+    back = Window.partitionBy(*by).orderBy(*rows).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    # lead over known values is linear, while a frame that runs to the end of the partition is quadratic
+    group, sort = (", ".join(f"`{c}`" for c in cols) for cols in (by, rows))
+    ahead = {
+        c: F.expr(f"lead(`_known_{c}`) IGNORE NULLS OVER (PARTITION BY {group} ORDER BY {sort})") for c in channels
+    }
     columns = df.columns
-    out = df.withColumns({f"_prev_{c}": F.last(marked[c], ignorenulls=True).over(back) for c in channels})
-    out = out.withColumns({f"_next_{c}": F.last(marked[c], ignorenulls=True).over(ahead) for c in channels})
+    out = df.withColumns({f"_known_{c}": marked[c] for c in channels}).withColumns(
+        {f"_prev_{c}": F.last(f"_known_{c}", ignorenulls=True).over(back) for c in channels}
+        | {f"_next_{c}": ahead[c] if strict else F.coalesce(f"_known_{c}", ahead[c]) for c in channels}
+    )
+    out = out.drop(*[f"_known_{c}" for c in channels])
     if not slice_columns(df):
         return out
     place = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in channels}
@@ -254,12 +270,18 @@ def nearest_known(
     )
 
 
-def with_lag(df: DataFrame, keys: Sequence[str], channels: Sequence[str], pos: str = "pos") -> DataFrame:
+def with_lag(
+    df: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    pos: str = "pos",
+    order: Sequence[str] | None = None,
+) -> DataFrame:
     """Adds `_lag_<c>`, the value one row earlier; a slice's first row reads the last row of the one before."""
     by = [*keys, *slice_columns(df)]
-    order = Window.partitionBy(*by).orderBy(pos)
+    rows = Window.partitionBy(*by).orderBy(*_row_order(df, pos, order))
     columns = df.columns
-    out = df.withColumns({f"_lag_{c}": F.lag(c).over(order) for c in channels})
+    out = df.withColumns({f"_lag_{c}": F.lag(c).over(rows) for c in channels})
     if not slice_columns(df):
         return out
     edges = (

@@ -17,27 +17,31 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*df.columns)
 
 
-def mark_peaks(df: DataFrame, keys: Sequence[str], channel: str, pos: str = "pos") -> DataFrame:
+def mark_peaks(
+    df: DataFrame, keys: Sequence[str], channel: str, pos: str = "pos", order: Sequence[str] | None = None
+) -> DataFrame:
     """Adds `is_peak`: the row starts a run of equal values that lies above both neighbouring runs.
 
     Runs at the ends of a sequence are never peaks. The channel must have no nulls.
     """
     columns = df.columns
-    lagged = with_lag(df, keys, [channel], pos)
+    lagged = with_lag(df, keys, [channel], pos, order)
     before = F.col(f"_lag_{channel}")
     starts = before.isNull() | (F.col(channel) != before)
     lagged = lagged.withColumn("_run", F.when(starts, F.col(channel)))
-    looked = nearest_known(lagged, keys, ["_run"], pos, strict=True)
+    looked = nearest_known(lagged, keys, ["_run"], pos, strict=True, order=order)
     after = F.col("_next__run")["v"]
     peak = starts & (before < F.col(channel)) & (after < F.col(channel))
     return looked.select(*columns, F.coalesce(peak, F.lit(False)).alias("is_peak"))
 
 
-def signal_summary(df: DataFrame, keys: Sequence[str], channel: str, pos: str = "pos") -> DataFrame:
+def signal_summary(
+    df: DataFrame, keys: Sequence[str], channel: str, pos: str = "pos", order: Sequence[str] | None = None
+) -> DataFrame:
     """One row per sequence: level, spread, differences, peaks at or above the mean, mean crossings, energy."""
     v = F.col(channel)
-    marked = mark_peaks(with_sequence_mean(df.where(v.isNotNull()), keys, [channel]), keys, channel, pos)
-    lagged = with_lag(marked, keys, [channel], pos)
+    marked = mark_peaks(with_sequence_mean(df.where(v.isNotNull()), keys, [channel]), keys, channel, pos, order)
+    lagged = with_lag(marked, keys, [channel], pos, order)
     mean, lag = F.col(f"_mean_{channel}"), F.col(f"_lag_{channel}")
     diff = v - lag
     crossing = (F.signum(v - mean) != F.signum(lag - mean)).cast("int")

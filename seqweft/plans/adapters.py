@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 EVENT_KEYS = ["user_id"]
+EVENT_ORDER = ["ts", "event_id"]
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +29,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
     )
-    return with_positions(df, EVENT_KEYS, ["ts", "event_id"], length="seq_len", keep_slices=True)
+    return with_positions(df, EVENT_KEYS, EVENT_ORDER, length="seq_len", keep_slices=True)
 
 
 EVENTS_SQL = """ev AS (
@@ -71,6 +72,7 @@ sen AS (
 )
 
 LINE_KEYS = ["l_suppkey"]
+LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 LINE_CHANNELS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -92,8 +94,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     df = line_channels(table(spark, sf, "lineitem")).select(
         "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", *LINE_CHANNELS
     )
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-    return with_positions(df, LINE_KEYS, order, length="seq_len", keep_slices=True)
+    return with_positions(df, LINE_KEYS, LINE_ORDER, length="seq_len", keep_slices=True)
 
 
 LINES_SQL = """ln AS (

@@ -82,7 +82,7 @@ def cleaned_motion(
     tidy = clean.clean_families(joined, found, limit)
     mirrored = mirror_left_v2(tidy, negate_tof=False)
     placed = with_positions(mirrored, keys, order, length="seq_len", keep_slices=True)
-    closed = clean.clean_by_family(placed, keys, {f: cs for f, cs in found.items() if cs})
+    closed = clean.clean_by_family(placed, keys, {f: cs for f, cs in found.items() if cs}, order=order)
     return geo.world_frame(closed)
 
 

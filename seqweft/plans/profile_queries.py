@@ -8,6 +8,7 @@ from seqweft.operators import clean, profile
 from seqweft.operators.windows import sliding_windows
 from seqweft.plans.adapters import (
     EVENT_KEYS,
+    EVENT_ORDER,
     EVENTS_SQL,
     GAPPY_SQL,
     GRID_SQL,
@@ -193,7 +194,7 @@ _FILLED = f"{GAPPY_SQL}, {filled_sql('gap', 1)}"
 
 def _filled(spark, sf):
     before = gappy_events(spark, sf)
-    return before, clean.fill_gaps(before, EVENT_KEYS, {"value": 1})
+    return before, clean.fill_gaps(before, EVENT_KEYS, {"value": 1}, order=EVENT_ORDER)
 
 
 @query(

@@ -9,9 +9,11 @@ from seqweft.operators import clean, sequences
 from seqweft.operators.ordered import exact_quantiles, salted_join, slice_columns, with_lag, with_sequence_mean
 from seqweft.plans.adapters import (
     EVENT_KEYS,
+    EVENT_ORDER,
     EVENTS_SQL,
     GAPPY_SQL,
     LINE_KEYS,
+    LINE_ORDER,
     LINES_SQL,
     SENTINEL_SQL,
     TRIALS_SQL,
@@ -60,7 +62,7 @@ filled AS (
     f"WITH {GAPPY_SQL}, {filled_sql('gap', 2)} SELECT user_id, pos, round(fixed, 6) AS value FROM filled",
 )
 def limited_interpolation(spark, sf):
-    out = clean.fill_gaps(gappy_events(spark, sf), EVENT_KEYS, {"value": 2})
+    out = clean.fill_gaps(gappy_events(spark, sf), EVENT_KEYS, {"value": 2}, order=EVENT_ORDER)
     return out.select("user_id", "pos", F.round("value", 6).alias("value"))
 
 
@@ -73,7 +75,7 @@ def limited_interpolation(spark, sf):
           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM gap""",
 )
 def forward_backward_fill(spark, sf):
-    return clean.carry_fill(gappy_events(spark, sf), EVENT_KEYS, ["value"]).select("user_id", "pos", "value")
+    return clean.carry_fill(gappy_events(spark, sf), EVENT_KEYS, ["value"], order=EVENT_ORDER).select("user_id", "pos", "value")
 
 
 _STEPWISE = """
@@ -95,7 +97,7 @@ carried AS (
 )
 def uniform_cleaning(spark, sf):
     """With a gap limit of 1, so that some gaps are left for the carrying step."""
-    out = clean.clean_uniform(sentinel_events(spark, sf), EVENT_KEYS, ["value"], gap=1)
+    out = clean.clean_uniform(sentinel_events(spark, sf), EVENT_KEYS, ["value"], gap=1, order=EVENT_ORDER)
     return out.select("user_id", "pos", F.round("value", 6).alias("value"))
 
 
@@ -124,12 +126,13 @@ def family_cleaning(spark, sf):
     src = gappy.select(
         "user_id",
         "pos",
+        *EVENT_ORDER,
         *slice_columns(gappy),
         *[F.col("value").alias(c) for c in ("acc_x", "rot_w", "thm_1")],
         F.coalesce("value", F.lit(-1.0)).alias("tof_1_v0"),
     )
     families = {"acc": ["acc_x"], "rot": ["rot_w"], "thm": ["thm_1"], "tof": ["tof_1_v0"]}
-    out = clean.clean_by_family(src, EVENT_KEYS, families)
+    out = clean.clean_by_family(src, EVENT_KEYS, families, order=EVENT_ORDER)
     return out.select(
         "user_id", "pos", *[F.round(c, 6).alias(c) for c in ("acc_x", "rot_w", "thm_1")], "tof_1_v0"
     )
@@ -143,7 +146,7 @@ def family_cleaning(spark, sf):
     FROM d GROUP BY user_id""",
 )
 def first_difference(spark, sf):
-    lagged = with_lag(events(spark, sf), EVENT_KEYS, ["value"])
+    lagged = with_lag(events(spark, sf), EVENT_KEYS, ["value"], order=EVENT_ORDER)
     diff = F.col("value") - F.col("_lag_value")
     return lagged.groupBy("user_id").agg(
         F.round(F.avg(diff), 6).alias("diff_mean"), F.round(F.stddev_samp(diff), 6).alias("diff_std")
@@ -159,7 +162,7 @@ def first_difference(spark, sf):
     SELECT l_suppkey, count(*) FILTER (WHERE s <> p) AS zero_crossings FROM d GROUP BY l_suppkey""",
 )
 def zero_crossings(spark, sf):
-    marked = with_lag(with_sequence_mean(lines(spark, sf), LINE_KEYS, ["l_quantity"]), LINE_KEYS, ["l_quantity"])
+    marked = with_lag(with_sequence_mean(lines(spark, sf), LINE_KEYS, ["l_quantity"]), LINE_KEYS, ["l_quantity"], order=LINE_ORDER)
     mean = F.col("_mean_l_quantity")
     change = F.signum(F.col("l_quantity") - mean) != F.signum(F.col("_lag_l_quantity") - mean)
     return marked.groupBy("l_suppkey").agg(F.count_if(change).alias("zero_crossings"))
@@ -181,7 +184,7 @@ means AS (SELECT l_suppkey, sum(l_quantity) / count(*) AS m FROM ln GROUP BY l_s
     FROM kept GROUP BY l_suppkey""",
 )
 def peak_count(spark, sf):
-    marked = sequences.mark_peaks(lines(spark, sf), LINE_KEYS, "l_quantity")
+    marked = sequences.mark_peaks(lines(spark, sf), LINE_KEYS, "l_quantity", order=LINE_ORDER)
     return marked.groupBy("l_suppkey").agg(F.count_if("is_peak").alias("peaks"))
 
 
@@ -194,7 +197,7 @@ def peak_count(spark, sf):
 )
 def peaks_over_mean(spark, sf):
     meaned = with_sequence_mean(lines(spark, sf), LINE_KEYS, ["l_quantity"])
-    marked = sequences.mark_peaks(meaned, LINE_KEYS, "l_quantity")
+    marked = sequences.mark_peaks(meaned, LINE_KEYS, "l_quantity", order=LINE_ORDER)
     over = F.col("is_peak") & (F.col("l_quantity") >= F.col("_mean_l_quantity"))
     return marked.groupBy("l_suppkey").agg(F.count_if(over).alias("peaks_over_mean"))
 

@@ -17,6 +17,7 @@ from seqweft.plans.adapters import (
     GRID_SQL,
     LINE_CHANNELS,
     LINE_KEYS,
+    LINE_ORDER,
     LINES_SQL,
     events,
     gappy_events,
@@ -194,7 +195,7 @@ def pixel_frame(spark, sf):
     FROM d JOIN pk USING (l_suppkey) GROUP BY l_suppkey""",
 )
 def signal_features(spark, sf):
-    out = signal_summary(lines(spark, sf), LINE_KEYS, "l_quantity")
+    out = signal_summary(lines(spark, sf), LINE_KEYS, "l_quantity", order=LINE_ORDER)
     return rounded(out, ["min", "max", "range", "energy"])
 
 
