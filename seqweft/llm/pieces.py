@@ -169,6 +169,7 @@ def encode_decode(df: DataFrame, path: str, text: Column | str = "text") -> Data
 
 def ids_array(packed: Column) -> Column:
     """Packed ids as array<int>, without Python."""
-    quads = F.transform(F.sequence(F.lit(0), F.length(packed) / 4 - 1), lambda i: F.substring(packed, (i * 4 + 1).cast("int"), F.lit(4)))
-    swap = lambda b: F.concat(*[F.substring(F.hex(b), k, 2) for k in (7, 5, 3, 1)])
-    return F.when(F.length(packed) >= 4, F.transform(quads, lambda b: F.conv(swap(b), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    numbers = F.sequence(F.lit(0), F.floor(F.length(packed) / 4).cast("int") - 1)
+    swapped = lambda b: F.concat(*[F.substring(F.hex(b), k, 2) for k in (7, 5, 3, 1)])
+    ids = F.transform(numbers, lambda i: F.conv(swapped(F.substring(packed, i * 4 + 1, F.lit(4))), 16, 10).cast("int"))
+    return F.when(F.length(packed) >= 4, ids).otherwise(F.array().cast("array<int>"))
