@@ -26,12 +26,18 @@ def _unless_constant(stat: Column, col: str | Column) -> Column:
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:
-    """Correlation over rows where both are known; null for a constant side, where `corr` raises an error."""
-    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    """Correlation over rows where both are finite; null for a constant side, where `corr` raises an error."""
+    a, b = (finite(F.col(c) if isinstance(c, str) else c) for c in (x, y))
     a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def finite(value: Column) -> Column:
+    """The value as a double; null if it is null, NaN or infinite."""
+    number = value.cast("double")
+    return F.when(F.abs(number) <= 1.7976931348623157e308, number)
+
+
 def hash_order(*cols: str | Column) -> Column:
     """A repeatable pseudo-random whole number in [0, 2^32), equal in any engine that has md5."""
     text = F.concat_ws("|", *cols)

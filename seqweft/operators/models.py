@@ -121,16 +121,17 @@ def search_feature_count(
 
 
 def feature_variants(
-    df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], components: int, most: int = 50
+    df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], components: int, most: int | None = None
 ) -> dict[str, tuple[DataFrame, list[str]]]:
     """Original, pairwise-product and principal-component versions of a feature table.
 
-    Beyond `most` product features, those of highest F score against the real labels are kept.
+    All product features are kept unless `most` is given: then those of highest F score against the labels.
+    The names that come with each version say which stayed.
     """
     keep = [*key, label]
     products = interactions(df, features, keep)
     names = [c for c in products.columns if c not in keep]
-    if len(names) > most:
+    if most is not None and len(names) > most:
         names = [r["feature"] for r in top_features(anova_scores(products, names, label), "f_score", most).collect()]
     reduced, _ = principal_components(df, features, components, keep)
     return {

@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from seqweft.session import scratch_path
 
 HOT_ROWS = 1 << 20  # a key with more rows than this is sliced; setting spark.seqweft.hotRows overrides it
-HOT_KEYS = 1 << 16  # broadcast bound: keys beyond the largest 65,536 hold under 1/65,536 of the rows each
+HOT_CELLS = 1 << 24  # of wide tables fewer rows make a key hot, so that a slice stays of a size in memory
+HOT_KEYS = 1 << 16  # up to so many hot keys their bounds are broadcast; more are joined without a hint
+LARGEST = 8e307  # stands for infinity, so that the width of a range stays finite
 
 SLICES = ["_slice1", "_slice2", "_slice3", "_slice4"]  # rounds of slicing; most data need one or two
 IS_HOT = f"{SLICES[0]} > 0"
@@ -32,17 +34,25 @@ IS_HOT = f"{SLICES[0]} > 0"
 def ordinals(df: DataFrame, name: str) -> list[Column]:
     """Doubles that follow the order of the column: each decides only where all before it are equal.
 
-    Empty for types that have none, such as arrays.
+    Null stays null, which a sort puts first. Infinities are the largest finite values and NaN comes after
+    them, as in a sort. Empty for types that have no such doubles, such as arrays.
     """
     kind = df.schema[name].dataType
     col = F.col(name)
+    if isinstance(kind, T.LongType):
+        # a double has 53 bits, so neighbouring large numbers need both halves
+        return [F.shiftright(col, 32).cast("double"), col.bitwiseAND(F.lit((1 << 32) - 1)).cast("double")]
+    if isinstance(kind, T.FractionalType):
+        value = col.cast("double")
+        inside = F.greatest(F.least(value, F.lit(LARGEST)), F.lit(-LARGEST))
+        return [F.when(F.isnan(value), F.lit(1.1 * LARGEST)).when(value.isNotNull(), inside)]
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return [col.cast("double")]
     if isinstance(kind, T.DateType):
         return [F.unix_date(col).cast("double")]
     if isinstance(kind, T.TimestampNTZType):
         # read off the fields: a cast to a zoned timestamp would not be monotone at clock changes
-        seconds = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+        seconds = F.hour(col) * 3600 + F.minute(col) * 60 + F.date_part(F.lit("SECOND"), col).cast("double")
         return [(F.unix_date(col.cast("date")) * F.lit(86400.0) + seconds).cast("double")]
     if isinstance(kind, T.TimestampType):
         return [F.unix_micros(col).cast("double")]
@@ -55,7 +65,7 @@ def ordinals(df: DataFrame, name: str) -> list[Column]:
 
 
 def hot_row_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.seqweft.hotRows", str(HOT_ROWS)))
+    return int(df.sparkSession.conf.get("spark.seqweft.hotRows", str(min(HOT_ROWS, HOT_CELLS // max(1, len(df.columns))))))
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -69,9 +79,13 @@ def slice_columns(df: DataFrame) -> list[str]:
 
 
 def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Left join of a bounded table; without keys it has at most one row and becomes a scalar subquery."""
+    """Left join of a stored table, broadcast if its count allows; without keys it has at most one row and
+    becomes a scalar subquery. Keys match null to null, as grouping does."""
     if keys:
-        return df.join(F.broadcast(small), list(keys), "left")
+        hinted = F.broadcast(small) if small.count() <= HOT_KEYS else small
+        named = hinted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *cols)
+        same = all_of([F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        return df.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
     row = small.select(F.struct(*cols)).scalar()
     return df.select("*", row.alias("_row")).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in cols])
 
@@ -88,32 +102,36 @@ def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
     A hot key is cut by equal width over its own range; slices still too full, as skewed orders leave
     them, are cut again in the next round. Each cut uses the first order column that varies inside the
-    group, so long ties are cut by the next column; of strings, the first six bytes that vary. Bounds
-    come from exact minima and maxima, so a recomputed task finds the same slices.
+    group, so long ties are cut by the next column; of strings, the first six bytes that vary. Nulls come
+    first, as in a sort. Bounds come from exact minima and maxima, so a recomputed task finds the same slices.
     """
     hot_rows = hot_row_limit(df)
     scales = [s for o in order for s in ordinals(df, o)]
-    bounds = [f(s).alias(f"_{end}{i}") for i, s in enumerate(scales) for end, f in (("lo", F.min), ("hi", F.max))]
-    names = [f"_{end}{i}" for i in range(len(scales)) for end in ("lo", "hi")]
+    ends = (("lo", F.min), ("hi", F.max), ("known", F.count))
+    bounds = [f(s).alias(f"_{end}{i}") for i, s in enumerate(scales) for end, f in ends]
+    names = [f"_{end}{i}" for i in range(len(scales)) for end, _ in ends]
     by, finished = list(keys), False
     for level in SLICES:
         if not finished:
             source = df if level == SLICES[0] else df.where(F.col(by[-1]) > 0)
             crowded = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *bounds).where(F.col("_rows") > hot_rows)
             parts = F.ceil(F.col("_rows") / F.lit(float(hot_rows))).cast("double").alias("_parts")
-            hot = stored(crowded.orderBy(F.desc("_rows"), *by).limit(HOT_KEYS).select(*by, parts, *names), "hot-keys")
+            hot = stored(crowded.select(*by, "_rows", parts, *names), "hot-keys")
             finished = hot.isEmpty()
         if finished:
             df = df.withColumn(level, F.lit(0).cast("long"))
             continue
         columns = df.columns
-        joined = _attach(df, hot, by, ["_parts", *names])
+        joined = _attach(df, hot, by, ["_rows", "_parts", *names])
         number = F.lit(1)
         for i, s in reversed(list(enumerate(scales))):
             width = F.col(f"_hi{i}") - F.col(f"_lo{i}")
             part = F.floor((s - F.col(f"_lo{i}")) / F.nullif(width, F.lit(0.0)) * F.col("_parts")) + 1
-            usable = (width > 0) & (width < float("inf"))
-            number = F.when(usable, F.coalesce(F.least(part, F.col("_parts").cast("long")), F.lit(1))).otherwise(number)
+            known = F.col(f"_known{i}")
+            spread = F.when(s.isNull(), F.lit(1)).otherwise(F.least(part, F.col("_parts").cast("long")))
+            # nulls and one value: the nulls come before it, and neither is cut further by this column
+            split = F.when(s.isNull(), F.lit(1)).otherwise(F.lit(2))
+            number = F.when(width > 0, spread).when((known > 0) & (known < F.col("_rows")), split).otherwise(number)
         cut = F.when(F.col("_parts").isNotNull(), number).otherwise(F.lit(0)).cast("long")
         df = joined.select(*columns, cut.alias(level))
         by = by + [level]
@@ -141,7 +159,7 @@ def with_positions(
     """0-based position of each row in its key's order; `length` also adds the key's row count.
 
     With `weight` the position is the sum of the weights before the row and `length` their total. The
-    order must be total (end it with a unique column) and free of nulls. `keep_slices` leaves the slice
+    order must be total (end it with a unique column); nulls come first. `keep_slices` leaves the slice
     columns in, as the look-ups below need them. `hot` says whether to slice; by default the input is asked.
     """
     keys, order = list(keys), list(order)
@@ -347,18 +365,27 @@ def running(
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], salt: Sequence[str], how: str = "left", salts: int = 16
+    left: DataFrame, right: DataFrame, on: Sequence[str], salt: Sequence[str], how: str = "left", hot: bool | None = None
 ) -> DataFrame:
     """Join where a key may be hot on the left and is unique on the right.
 
-    The left side's rows of one key are spread over `salts` tasks by a hash of the `salt` columns and the
-    right side is repeated that often. No hint: Spark still broadcasts the right side if it is small.
+    Without a hot key it is a plain join. Otherwise only hot keys are salted: their rows on the left are
+    spread by a hash of the `salt` columns over as many tasks as their count asks for, and their rows on
+    the right are repeated that often. No hint: Spark still broadcasts the right side if it is small.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(how)
-    spread = F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
+    on = list(on)
+    hot = has_hot_key(left, on) if hot is None else hot
+    if not hot:
+        return left.join(right, on, how)
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_row_limit(left))
+    crowded = stored(counts.select(*on, F.ceil(F.col("_rows") / F.lit(float(hot_row_limit(left)))).alias("_salts")), "hot-keys")
+    many = F.coalesce(F.col("_salts"), F.lit(1).cast("long"))
+    spread = _attach(left, crowded, on, ["_salts"]).withColumn("_salt", F.pmod(F.xxhash64(*salt), many)).drop("_salts")
+    copies = _attach(right, crowded, on, ["_salts"])
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("_salts")
+    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def all_of(conditions: Sequence[Column]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
-from seqweft.functions.expressions import pearson
+from seqweft.functions.expressions import finite, pearson
 from seqweft.operators.ordered import exact_quantiles, has_hot_key, salted_join
 
 WIDE_PAIRS = 300  # above this many channel pairs, correlations go through partial product sums
@@ -184,7 +184,7 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, channels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair of channels over rows where both are known, both orientations.
+    """Pearson correlation of every pair of channels over rows where both are finite, both orientations.
 
     Few channels become one native aggregate. Many go through partial product sums per task, which are
     added up per pair: the shuffle carries one small matrix per task, never rows.
@@ -203,8 +203,9 @@ def correlations(df: DataFrame, channels: Sequence[str], by: Sequence[str] = ())
 
 def _product_sum_correlations(df: DataFrame, channels: list[str]) -> DataFrame:
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    df = df.select(*[finite(F.col(c)).alias(c) for c in channels])
     centre = df.agg(F.struct(*[F.avg(c).alias(c) for c in channels])).scalar()
-    values = df.select(F.array(*[F.col(c).cast("double") for c in channels]).alias("v"), centre.alias("m"))
+    values = df.select(F.array(*channels).alias("v"), centre.alias("m"))
     values = values.select("v", F.array(*[F.col("m")[c] for c in channels]).alias("m"))
 
     def partial(batches):

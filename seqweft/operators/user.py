@@ -31,20 +31,18 @@ def apply_in_chunks(
 ) -> DataFrame:
     """Runs `fn` per sequence chunk of `span` positions, in order.
 
-    The frame also holds up to `before` rows of the previous and `after` rows of the next chunk; the
-    boolean column `own` tells the chunk's own rows, and `fn` returns rows for these only.
+    The frame also holds the `before` rows ahead of the chunk and the `after` rows behind it, from as many
+    chunks as these reach over; the boolean column `own` tells the chunk's own rows, and `fn` returns rows
+    for these only.
     """
-    place = F.col(pos) % span
     home = F.floor(F.col(pos) / span)
-    none = F.array().cast("array<bigint>")
-    ids = F.concat(
-        F.array(home),
-        F.when(place >= span - before, F.array(home + 1)).otherwise(none) if before else none,
-        F.when((place < after) & (home > 0), F.array(home - 1)).otherwise(none) if after else none,
-    )
-    spread = df.select("*", F.explode(ids).alias("_chunk")).withColumn("own", F.col("_chunk") == home)
+    first = F.greatest(F.floor((F.col(pos) - after) / span), F.lit(0).cast("long"))
+    last = F.floor((F.col(pos) + before) / span)
+    spread = df.select("*", F.explode(F.sequence(first, last)).alias("_chunk")).withColumn("own", F.col("_chunk") == home)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if not frame["own"].any():  # past the sequence's end, only other chunks' rows arrive
+            return pd.DataFrame()
         return fn(frame.drop(columns="_chunk").sort_values(pos, ignore_index=True))
 
     # an explicit number keeps small inputs spread: the function's cost, not the bytes, sets the time

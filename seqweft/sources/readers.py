@@ -82,17 +82,47 @@ def read_histories(spark: SparkSession, path: str, schema: str = HISTORY_SCHEMA,
     )
 
 
-def window_integrity(windows: DataFrame, keys: Sequence[str], channels: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
-    """One row per configuration: counts and array lengths that should agree, and whether they do."""
-    sizes = [F.size(c) for c in channels]
+def window_integrity(
+    windows: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    labels: Sequence[str] = (),
+    attributes: Sequence[str] = (),
+    width: int | None = None,
+) -> DataFrame:
+    """One row per configuration: counts and array lengths that should agree, and whether they do.
+
+    Every window needs an array without nulls in every channel, all of one length (`width` if it is given),
+    every label and attribute, and a key of its own.
+    """
+    sizes = [F.coalesce(F.size(c), F.lit(-1)) for c in channels]
     low, high = (F.least(*sizes), F.greatest(*sizes)) if len(sizes) > 1 else (sizes[0], sizes[0])
-    out = windows.groupBy("window_config").agg(
-        F.count(F.lit(1)).alias("windows"),
-        F.min(low).alias("shortest"),
-        F.max(high).alias("longest"),
-        *[F.count(c).alias(f"with_{c}") for c in labels],
+    whole = [F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()) for c in channels]
+    counted = windows.groupBy("window_config", *keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(low).alias("low"),
+        F.max(high).alias("high"),
+        *[F.sum(F.coalesce(w, F.lit(False)).cast("long")).alias(f"_{c}") for c, w in zip(channels, whole, strict=True)],
+        *[F.count(c).alias(f"_{c}") for c in [*labels, *attributes]],
     )
-    same = F.col("shortest") == F.col("longest")
+    full = F.lit(True)
+    for c in [*channels, *attributes]:
+        full = full & (F.col(f"_{c}") == F.col("n"))
+    out = counted.groupBy("window_config").agg(
+        F.sum("n").alias("windows"),
+        F.min("low").alias("shortest"),
+        F.max("high").alias("longest"),
+        *[F.sum(f"_{c}").alias(f"with_{c}") for c in labels],
+        (F.max("n") == 1).alias("_own_keys"),
+        F.min(full).alias("_full"),
+        *[F.min(F.col(f"_{c}") > 0).cast("int").alias(f"_seen_{c}") for c in [*channels, *attributes]],
+    )
+    wanted = F.lit(width) if width is not None else F.col("longest")
+    same = (F.col("shortest") == wanted) & (F.col("longest") == wanted) & F.col("_own_keys") & F.col("_full")
     for c in labels:
         same = same & (F.col(f"with_{c}") == F.col("windows"))
-    return out.select("*", F.lit(len(channels)).alias("channels"), same.alias("consistent"))
+    seen = [F.col(f"_seen_{c}") for c in channels]
+    present = sum(seen[1:], seen[0])
+    return out.select(
+        "window_config", "windows", "shortest", "longest", *[f"with_{c}" for c in labels], present.alias("channels"), same.alias("consistent")
+    )

@@ -14,22 +14,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 class WindowCutter(StatefulProcessor):
     """Keeps the rows that later windows still need, fewer than a width per sequence, and emits each full
-    window once. A sequence shorter than the width gives its padded window when its last row comes."""
+    window once; with a stride beyond the width it also keeps how many coming rows lie between windows. A
+    sequence shorter than the width gives its padded window when its last row comes."""
 
-    def __init__(self, width: int, stride: int, channel: str, min_length: int, padding: float, keys: Sequence[str]):
+    def __init__(self, width: int, stride: int, channel: str, min_length: int, padding: float, keys: Sequence[str], ttl: int | None = None):
         self.width, self.stride, self.channel = width, stride, channel
-        self.min_length, self.padding, self.keys = min_length, padding, list(keys)
+        self.min_length, self.padding, self.keys, self.ttl = min_length, padding, list(keys), ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "base long, held array<double>")
+        self.kept = handle.getValueState("kept", "base long, skip long, held array<double>", self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows)).sort_values("pos")
-        base, held = self.kept.get() if self.kept.exists() else (0, [])
-        values = np.concatenate([np.asarray(held, dtype="float64"), came[self.channel].to_numpy(dtype="float64")])
+        base, skip, held = self.kept.get() if self.kept.exists() else (0, 0, [])
+        new = came[self.channel].to_numpy(dtype="float64")
+        values = np.concatenate([np.asarray(held, dtype="float64"), new[skip:]])
+        skip = max(0, skip - len(new))
         out = []
         while len(values) >= self.width:
             out.append((base, False, values[: self.width]))
+            skip = max(0, self.stride - len(values))
             values, base = values[self.stride :], base + self.stride
         ended = bool(came["is_last"].any())
         if ended and base == 0 and self.min_length <= len(values):
@@ -37,7 +41,7 @@ class WindowCutter(StatefulProcessor):
         if ended:
             self.kept.clear()
         else:
-            self.kept.update((int(base), [float(v) for v in values]))
+            self.kept.update((int(base), int(skip), [float(v) for v in values]))
         if out:
             frame = pd.DataFrame(out, columns=["start_idx", "padded", self.channel])
             for name, value in zip(self.keys, key):
@@ -56,16 +60,18 @@ def stream_windows(
     stride: int,
     min_length: int = 10,
     padding: float = 0.0,
+    ttl: int | None = None,
 ) -> DataFrame:
     """Windows of a stream with columns keys, pos, the channel and `is_last` (true on a sequence's last row).
 
     Rows of a sequence must arrive in order from one micro-batch to the next; within one they may be mixed.
+    `ttl` milliseconds after its last row, a sequence that never ended is forgotten.
     """
     key_types = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
     rows = stream.select(*keys, "pos", F.col(channel).cast("double").alias(channel), "is_last")
     return rows.groupBy(*keys).transformWithStateInPandas(
-        WindowCutter(width, stride, channel, min_length, padding, keys),
+        WindowCutter(width, stride, channel, min_length, padding, keys, ttl),
         outputStructType=f"{key_types}, start_idx long, padded boolean, {channel} array<double>",
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if ttl is None else "ProcessingTime",
     )
