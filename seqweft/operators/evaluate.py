@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from seqweft.functions.labels import NON_TARGET, TARGET_GESTURES
 from seqweft.operators.models import family_importance
-from seqweft.operators.ordered import salted_join
 
 
 def vote(df: DataFrame, keys: Sequence[str], label: str = "class", probability: str = "probability") -> DataFrame:
@@ -149,24 +148,20 @@ def violations(expected: DataFrame, answers: DataFrame, key: str, label: str, al
 
     `allowed` holds the label set in a column of the label's name.
     """
-    counted = answers.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-
-    def because(df: DataFrame, reason: str) -> DataFrame:
-        return df.select(F.col(key), F.lit(reason).alias("reason"))
-
-    labelled = answers.where(F.col(label).isNotNull())
-    unknown = salted_join(labelled, allowed.select(label).distinct(), [label], [key], "left_anti")
-    parts = [
-        because(expected.select(key).join(counted, key, "left_anti"), "missing"),
-        because(counted.join(expected.select(key), key, "left_anti"), "unexpected"),
-        because(counted.where(F.col("_n") > 1), "repeated"),
-        because(answers.where(F.col(label).isNull()), "null label"),
-        because(unknown, "unknown label"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    known = allowed.select(F.col(label).alias("_label")).distinct().withColumn("_known", F.lit(True))
+    marked = answers.join(known, answers[label] == F.col("_label"), "left")
+    null, unknown = F.col(label).isNull(), F.col(label).isNotNull() & F.col("_known").isNull()
+    counted = marked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(null).alias("_null"), F.max(unknown).alias("_unknown"))
+    wanted = expected.select(key).distinct().withColumn("_wanted", F.lit(True))
+    reasons = {
+        "missing": F.col("_n").isNull(),
+        "unexpected": F.col("_wanted").isNull(),
+        "repeated": F.col("_n") > 1,
+        "null label": F.col("_null"),
+        "unknown label": F.col("_unknown"),
+    }
+    listed = F.array_compact(F.array(*[F.when(holds, F.lit(reason)) for reason, holds in reasons.items()]))
+    return wanted.join(counted, key, "full").select(key, F.explode(listed).alias("reason"))
 
 
 def two_stage(df: DataFrame, gate: str, decision: str, threshold: float, negative) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from seqweft.functions.channels import to_long
 from seqweft.functions.expressions import sample_kurtosis, sample_skew
 from seqweft.functions.kernels import BANDS, SAMPLING_HZ, amplitude, band_energy, wavelet_energy
-from seqweft.operators.ordered import exact_quantiles, has_hot_key, slice_columns
+from seqweft.operators.ordered import IS_HOT, exact_quantiles, has_hot_key, slice_columns
+from seqweft.operators.spectrum import long_amplitudes
 
 ZERO = 0.0
 
@@ -98,13 +99,15 @@ def window_spectrum(
 def sequence_spectrum(
     df: DataFrame, keys: Sequence[str], channel: str, fs: float = SAMPLING_HZ, pos: str = "pos"
 ) -> DataFrame:
-    """Amplitudes of whole sequences of bounded length, missing values taken as 0.
+    """Amplitudes of whole sequences, missing values taken as 0.
 
-    A Fourier transform needs all of its input at once, so a sequence long enough to be sliced is refused:
-    cut it into windows and use `window_spectrum`.
+    Sequences long enough to be sliced are transformed in short pieces (`long_amplitudes`), others in one.
     """
     if slice_columns(df):
-        raise ValueError("a sequence is too long for one transform; cut it into windows")
+        hot = long_amplitudes(df.where(IS_HOT), keys, channel, pos)
+        frequency = F.col("bin") * F.lit(float(fs)) / F.col("length")
+        cool = sequence_spectrum(df.where(f"NOT ({IS_HOT})").drop(*slice_columns(df)), keys, channel, fs, pos)
+        return cool.unionByName(hot.select(*keys, "bin", frequency.alias("frequency"), "amplitude"))
     rows = F.sort_array(F.collect_list(F.struct(pos, F.coalesce(F.col(channel), F.lit(ZERO)).alias("v"))))
     whole = df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.col("_rows.v").alias(channel))
     return window_spectrum(whole, channel, keys, fs)

@@ -32,19 +32,24 @@ from seqweft.sources import readers, writers
 _EVENT_COLUMNS = "event_id, ts, user_id, event_type, value"
 
 
-@query("s1_csv_scan", f"SELECT {_EVENT_COLUMNS} FROM events WHERE event_type = 'click'")
+@query("s1_csv_scan", f"SELECT {_EVENT_COLUMNS} FROM events")
 def csv_scan(spark, sf):
     path = scratch_path(spark, "events-csv")
     writers.write_csv(table(spark, sf, "events").select(*_EVENT_COLUMNS.split(", ")), path)
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
-    return readers.read_csv(spark, path, schema).where(F.col("event_type") == "click")
+    return readers.read_csv(spark, path, schema)
+
+
+@query("s2_parquet_scan", "SELECT * FROM orders")
+def parquet_scan(spark, sf):
+    return readers.read_parquet(spark, f"{sf}/orders.parquet")
 
 
 @query(
-    "s2_parquet_scan",
+    "s2_filtered_scan",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderstatus = 'F'",
 )
-def parquet_scan(spark, sf):
+def filtered_scan(spark, sf):
     df = readers.read_parquet(spark, f"{sf}/orders.parquet")
     kept = (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "F")
     return df.where(kept).select("o_orderkey", "o_totalprice")
@@ -110,24 +115,47 @@ _W128 = windows_sql("ln", "l_suppkey", LINE_CHANNELS[:2], 128, 32, 10, "b")
 
 @query(
     "s7_window_set_sink",
-    f"WITH {LINES_SQL}, {_W128} SELECT l_suppkey, start_idx, l_quantity, l_extendedprice FROM b",
+    f"""WITH {LINES_SQL}, {_W64}, {_W128}
+    SELECT 'w64_s16' AS window_config, l_suppkey, start_idx, l_quantity, l_extendedprice FROM a
+    UNION ALL SELECT 'w128_s32', l_suppkey, start_idx, l_quantity, l_extendedprice FROM b""",
 )
 def window_set_sink(spark, sf):
-    got = readers.read_windows(spark, _stored_windows(spark, sf), "w128_s32")
-    return got.select("l_suppkey", "start_idx", "l_quantity", "l_extendedprice")
+    path = _stored_windows(spark, sf)
+    columns = ["l_suppkey", "start_idx", "l_quantity", "l_extendedprice"]
+    sets = [readers.read_windows(spark, path, name).select(F.lit(name).alias("window_config"), *columns) for name in CONFIGS]
+    return sets[0].unionByName(sets[1])
+
+
+def _integrity_sql(flaw: str) -> str:
+    """Counts and checks over the windows of both configurations, `flaw` telling which lost an array."""
+    return f"""WITH {LINES_SQL}, {_W64}, {_W128}, u AS (
+      SELECT 'w64_s16' AS window_config, 64 AS w, l_suppkey, start_idx, l_quantity, l_extendedprice FROM a
+      UNION ALL SELECT 'w128_s32', 128, l_suppkey, start_idx, l_quantity, l_extendedprice FROM b),
+    c AS (SELECT window_config, w, l_suppkey, start_idx, l_quantity, CASE WHEN NOT ({flaw}) THEN l_extendedprice END AS l_extendedprice FROM u)
+    SELECT window_config, count(*) AS windows,
+        CAST(min(least(coalesce(len(l_quantity), -1), coalesce(len(l_extendedprice), -1))) AS INTEGER) AS shortest,
+        CAST(max(greatest(coalesce(len(l_quantity), -1), coalesce(len(l_extendedprice), -1))) AS INTEGER) AS longest,
+        count(*) AS with_l_returnflag,
+        CAST(max((l_quantity IS NOT NULL)::INT) + max((l_extendedprice IS NOT NULL)::INT) AS INTEGER) AS channels,
+        count(*) = count(l_quantity) AND count(*) = count(l_extendedprice) AND min(len(l_quantity)) = max(w) AND max(len(l_quantity)) = max(w)
+          AND min(len(l_extendedprice)) = max(w) AND max(len(l_extendedprice)) = max(w)
+          AND count(*) = count(DISTINCT (l_suppkey, start_idx)) AS consistent
+    FROM c GROUP BY window_config"""
+
+
+@query("s8_window_set_integrity", _integrity_sql("false"))
+def window_set_integrity(spark, sf):
+    stored = readers.read_windows(spark, _stored_windows(spark, sf))
+    return readers.window_integrity(stored, ["l_suppkey", "start_idx"], LINE_CHANNELS[:2], ["l_returnflag"])
 
 
-@query(
-    "s8_window_set_integrity",
-    f"""WITH {LINES_SQL}, {_W64}, {_W128}, u AS (
-      SELECT 'w64_s16' AS window_config, l_quantity FROM a UNION ALL SELECT 'w128_s32', l_quantity FROM b)
-    SELECT window_config, count(*) AS windows, CAST(min(len(l_quantity)) AS INTEGER) AS shortest,
-           CAST(max(len(l_quantity)) AS INTEGER) AS longest, count(*) AS with_l_returnflag,
-           CAST(2 AS INTEGER) AS channels, true AS consistent FROM u GROUP BY window_config""",
-)
-def window_set_integrity(spark, sf):
+@query("s8_broken_window_set", _integrity_sql("w = 128 AND l_suppkey % 5 = 0"))
+def broken_window_set(spark, sf):
+    """A set in which every fifth supplier's wide windows lost a channel."""
     stored = readers.read_windows(spark, _stored_windows(spark, sf))
-    return readers.window_integrity(stored, LINE_KEYS, LINE_CHANNELS[:2], ["l_returnflag"])
+    lost = (F.col("window_config") == "w128_s32") & (F.col("l_suppkey") % 5 == 0)
+    broken = stored.withColumn("l_extendedprice", F.when(~lost, F.col("l_extendedprice")))
+    return readers.window_integrity(broken, ["l_suppkey", "start_idx"], LINE_CHANNELS[:2], ["l_returnflag"])
 
 
 _FINGERPRINT_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]

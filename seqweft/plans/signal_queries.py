@@ -223,23 +223,49 @@ def reconstruction_error(spark, sf):
 
 @query("g7_linear_reconstruction")
 def linear_reconstruction(spark, sf):
-    """Reconstruction from the eight leading principal components, a linear stand-in for an autoencoder."""
-    base = table(spark, sf, "embeddings").select(
-        "vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("x")
-    )
-    model = PCA(k=8, inputCol="x", outputCol="scores").fit(base)
+    """Reconstruction from the eight leading principal components, a linear stand-in for an autoencoder.
+
+    Components are those of the centred entries, so the mean itself is never an error.
+    """
+    names = [f"e{i}" for i in range(64)]
+    entries = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]
+    return linear_errors(table(spark, sf, "embeddings").select("vec_id", *entries), names, 8, ["vec_id"])
+
+
+def _scaled_by(i: int):
+    """Multiplies by the row's score on component i."""
+    return lambda a: a * F.get("s", F.lit(i))
+
+
+def linear_errors(df, names, k, keep):
+    """Mean squared difference between centred features and their projection on k components."""
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in names])).scalar()
+    centred = df.select(*keep, F.array(*names).alias("v"), means.alias("m"))
+    centred = centred.select(*keep, F.array(*[F.col("v")[i] - F.col("m")[c] for i, c in enumerate(names)]).alias("x"))
+    model = PCA(k=k, inputCol="_x", outputCol="_s").fit(centred.select(array_to_vector("x").alias("_x")))
     axes = model.pc.toArray().T.tolist()
-    scores = model.transform(base).select("vec_id", vector_to_array("x").alias("x"), vector_to_array("scores").alias("s"))
+    projected = model.transform(centred.withColumn("_x", array_to_vector("x"))).select(*keep, "x", vector_to_array("_s").alias("s"))
     parts = [F.transform(F.array(*[F.lit(v) for v in axis]), _scaled_by(i)) for i, axis in enumerate(axes)]
     rebuilt = parts[0]
     for part in parts[1:]:
         rebuilt = F.zip_with(rebuilt, part, lambda a, b: a + b)
-    return scores.select("vec_id", feat.reconstruction_error(F.col("x"), rebuilt).alias("error"))
+    return projected.select(*keep, feat.reconstruction_error(F.col("x"), rebuilt).alias("error"))
 
 
-def _scaled_by(i: int):
-    """Multiplies by the row's score on component i."""
-    return lambda a: a * F.get("s", F.lit(i))
+_PAIR_SQL = """pr AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+    st AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM pr),
+    ax AS (SELECT ma, mb, c, (va + vb) / 2 - sqrt(pow((va - vb) / 2, 2) + c * c) - va AS d FROM st)"""
+
+
+@query(
+    "g7_pair_reconstruction",
+    f"""WITH {_PAIR_SQL} SELECT vec_id, round(pow((c * (a - ma) + d * (b - mb)) / sqrt(c * c + d * d), 2) / 2, 9) AS error FROM pr, ax""",
+)
+def pair_reconstruction(spark, sf):
+    """Two entries rebuilt from one component: the error is the square along the other, in closed form."""
+    e = F.col("embedding")
+    df = table(spark, sf, "embeddings").select("vec_id", e[0].cast("double").alias("a"), e[1].cast("double").alias("b"))
+    return linear_errors(df, ["a", "b"], 1, ["vec_id"]).withColumn("error", F.round("error", 9))
 
 
 @query(

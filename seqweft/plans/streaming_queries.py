@@ -85,12 +85,7 @@ def summaries_of_arriving_sequences(spark, sf):
     return spark.read.parquet(answers).drop("batch")
 
 
-@query(
-    "st2_windows_from_pieces",
-    f"""WITH {EVENTS_SQL}, {windows_sql('ev', 'user_id', ['value'], 32, 16, 10, 'w')}
-    SELECT user_id, start_idx, padded, value FROM w""",
-)
-def windows_from_pieces(spark, sf):
+def _windows_from_pieces(spark, sf, width, stride):
     """Each sequence comes in two pieces in different files; every window is emitted once."""
     source, out = scratch_path(spark, "pieces"), scratch_path(spark, "stream-windows")
     readings = events(spark, sf).select(
@@ -99,23 +94,40 @@ def windows_from_pieces(spark, sf):
     early = F.col("pos") < 45
     write_parquet(readings.where(early).repartition(2, "user_id"), source)
     write_parquet(readings.where(~early).repartition(2, "user_id"), source, mode="append")
-    keep = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(
+    # a session of its own holds the state store's setting, so that no other stream takes it
+    own = spark.newSession()
+    own.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    try:
-        schema = spark.read.parquet(source).schema
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-        made = stream_windows(stream, EVENT_KEYS, "value", 32, 16)
-        writer = made.writeStream.format("parquet").outputMode("append")
-        writer = writer.option("path", out).option("checkpointLocation", scratch_path(spark, "progress"))
-        writer.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", keep)
+    schema = spark.read.parquet(source).schema
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    made = stream_windows(stream, EVENT_KEYS, "value", width, stride)
+    writer = made.writeStream.format("parquet").outputMode("append")
+    writer = writer.option("path", out).option("checkpointLocation", scratch_path(spark, "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
+@query(
+    "st2_windows_from_pieces",
+    f"""WITH {EVENTS_SQL}, {windows_sql('ev', 'user_id', ['value'], 32, 16, 10, 'w')}
+    SELECT user_id, start_idx, padded, value FROM w""",
+)
+def windows_from_pieces(spark, sf):
+    return _windows_from_pieces(spark, sf, 32, 16)
+
+
+@query(
+    "st2_windows_apart",
+    f"""WITH {EVENTS_SQL}, {windows_sql('ev', 'user_id', ['value'], 12, 20, 10, 'w')}
+    SELECT user_id, start_idx, padded, value FROM w""",
+)
+def windows_apart(spark, sf):
+    """A stride beyond the width: rows between two windows are skipped, also across pieces."""
+    return _windows_from_pieces(spark, sf, 12, 20)
+
+
 def _forward_mean(frame: pd.DataFrame) -> pd.DataFrame:
     """Mean of the row and up to four rows after it."""
     ahead = frame["value"][::-1].rolling(5, min_periods=1).mean()[::-1]
@@ -133,6 +145,25 @@ def function_per_sequence(spark, sf):
     return out.withColumn("smooth", F.round("smooth", 5))
 
 
+def _wide_sum(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sum of the row, the forty before it and the twenty after it."""
+    ends = np.minimum(np.arange(len(frame)) + 20, len(frame) - 1)
+    sums = np.concatenate([[0.0], np.cumsum(frame["value"].to_numpy())])
+    wide = sums[ends + 1] - sums[np.maximum(np.arange(len(frame)) - 40, 0)]
+    return frame.assign(wide=wide).loc[frame["own"], ["user_id", "pos", "wide"]]
+
+
+@query(
+    "u1_context_beyond_a_chunk",
+    f"""WITH {EVENTS_SQL} SELECT user_id, pos, round(sum(value) OVER (PARTITION BY user_id ORDER BY pos
+        ROWS BETWEEN 40 PRECEDING AND 20 FOLLOWING), 4) AS wide FROM ev""",
+)
+def context_beyond_a_chunk(spark, sf):
+    rows = events(spark, sf).select("user_id", "pos", "value")
+    out = user.apply_in_chunks(rows, EVENT_KEYS, _wide_sum, "user_id long, pos long, wide double", span=16, before=40, after=20)
+    return out.withColumn("wide", F.round("wide", 4))
+
+
 def _part(batch: pd.DataFrame) -> pd.DataFrame:
     over = batch.assign(over=(batch["l_quantity"] > 25).astype("int64"), top=batch["l_extendedprice"])
     return over.groupby("l_suppkey", as_index=False).agg(over=("over", "sum"), top=("top", "max"))

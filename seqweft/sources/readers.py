@@ -115,7 +115,7 @@ def window_integrity(
         *[F.sum(f"_{c}").alias(f"with_{c}") for c in labels],
         (F.max("n") == 1).alias("_own_keys"),
         F.min(full).alias("_full"),
-        *[F.min(F.col(f"_{c}") > 0).cast("int").alias(f"_seen_{c}") for c in [*channels, *attributes]],
+        *[F.max(F.col(f"_{c}") > 0).cast("int").alias(f"_seen_{c}") for c in channels],
     )
     wanted = F.lit(width) if width is not None else F.col("longest")
     same = (F.col("shortest") == wanted) & (F.col("longest") == wanted) & F.col("_own_keys") & F.col("_full")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +54,23 @@ def rebuilt_if_changed(
 ) -> DataFrame:
     """The built table for this source: read back if its fingerprint is on file, else built and written.
 
-    Every fingerprint has a folder of its own, so a table in use is never overwritten, and the marker is
-    written after the table, so a broken build is not taken for a finished one.
+    Every fingerprint of source and `build` has a folder of its own, so a table in use is never overwritten,
+    and the marker is written after the table, so a broken build is not taken for a finished one.
     """
     mark = fingerprint(source).first()
-    name = f"{mark['rows']}_{mark['hash_xor'] & 0xFFFFFFFFFFFFFFFF:016x}_{mark['hash_sum']}"
+    name = f"{mark['rows']}_{mark['hash_xor'] & 0xFFFFFFFFFFFFFFFF:016x}_{mark['hash_sum']}_{_function_mark(build)}"
     data, meta = f"{folder}/table_{name}", f"{folder}/meta_{name}"
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{meta}/_SUCCESS")
-    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(marker):
+    try:
+        spark.read.schema("name string, rows long").json(meta)
+    except AnalysisException:  # nothing there yet
         write_parquet(build(source), data, mode="overwrite")
         write_json(spark.createDataFrame([(name, mark["rows"])], "name string, rows long"), meta, mode="overwrite")
     return spark.read.parquet(data)
+
+
+def _function_mark(build: Callable) -> str:
+    """Differs for functions of other names, code or constants; values a function only refers to don't count."""
+    code = getattr(build, "__code__", None)
+    constants = [c for c in code.co_consts if not hasattr(c, "co_code")] if code else []
+    said = (getattr(build, "__module__", ""), getattr(build, "__qualname__", repr(type(build))), code and code.co_code, constants)
+    return hashlib.md5(repr(said).encode()).hexdigest()[:8]

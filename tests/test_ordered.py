@@ -163,3 +163,34 @@ def test_first_rows(spark):
     got = sequences.first_rows(spark.createDataFrame(pdf), ["key"], ["at", "id"]).toPandas().sort_values("key")
     want = pdf.sort_values(["key", "at", "id"]).groupby("key").first()
     assert list(got["id"]) == list(want["id"])
+
+
+def test_slices_follow_a_sort_through_nulls_and_odd_numbers(spark):
+    """Positions in sliced mode equal a plain sort for nulls, NaN, infinities, ties and numbers beyond 2^53."""
+    nan, inf = float("nan"), float("inf")
+    doubles = [None, None, nan, inf, -inf, 0.0, 1.5, 1.5, 2.0, 1e300, -1e300, 3.0] * 3
+    longs = [None, 2**60, 2**60 + 1, 2**60 + 2, 5, 7, None, -(2**60), 0, 1, 2, 3] * 3
+    rows = [(1, d, n, i) for i, (d, n) in enumerate(zip(doubles, longs))]
+    rows += [(2, None if i % 2 else 5.0, 40 - i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, d double, n long, i long")
+    for order in (["d", "i"], ["n", "i"], ["d", "n", "i"]):
+        plain = with_positions(df, ["k"], order, hot=False).collect()
+        spark.conf.set("spark.seqweft.hotRows", "7")
+        try:
+            sliced = with_positions(df, ["k"], order, hot=True).collect()
+        finally:
+            spark.conf.unset("spark.seqweft.hotRows")
+        assert {(r.k, r.i): r.pos for r in plain} == {(r.k, r.i): r.pos for r in sliced}
+
+
+def test_microseconds_order_slices(spark):
+    from datetime import datetime
+
+    rows = [(1, datetime(2024, 1, 1, 0, 0, 0, 40 - i), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, t timestamp_ntz, i long")
+    spark.conf.set("spark.seqweft.hotRows", "7")
+    try:
+        got = with_positions(df, ["k"], ["t", "i"], hot=True).collect()
+    finally:
+        spark.conf.unset("spark.seqweft.hotRows")
+    assert all(r.pos == 39 - r.i for r in got)
