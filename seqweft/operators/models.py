@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.functions.channels import family_of
+from seqweft.operators.ordered import stored
 from seqweft.operators.transform import anova_scores, interactions, stratified_folds, top_features
 
 
@@ -33,9 +34,10 @@ def cross_validated(
 ) -> tuple[DataFrame, list]:
     """Out-of-fold predictions (fold, class, guess, probabilities) and the fitted models, one per fold.
 
-    The loop runs over folds, a handful; each fit and each prediction is a Spark job over all rows.
+    The loop runs over folds, a handful; each fit and each prediction is a Spark job over all rows. The rows
+    with their folds are written once to the shared folder, so that no fit computes its input again.
     """
-    assigned = stratified_folds(df.select(*key, label, *features), label, key, folds)
+    assigned = stored(stratified_folds(df.select(*key, label, *features), label, key, folds), "folds")
     out, models = None, []
     for fold in range(folds):
         model = forest(features, label, **options).fit(assigned.where(F.col("fold") != fold))
@@ -93,16 +95,27 @@ def family_importance(summary: DataFrame) -> DataFrame:
     )
 
 
+def fit_components(df: DataFrame, features: Sequence[str], k: int) -> tuple[Callable[[DataFrame, Sequence[str]], DataFrame], object]:
+    """A projection on the k leading components of the rows, centred on their means, to apply to any rows."""
+    means = df.agg(*[F.avg(c).alias(c) for c in features]).first()
+
+    def centred(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        moved = rows.select(*keep, *[(F.col(c) - F.lit(means[c])).alias(f"_x{i}") for i, c in enumerate(features)])
+        return VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_x").transform(moved)
+
+    model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(centred(df, []))
+
+    def project(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        parts = vector_to_array("_pc")
+        return model.transform(centred(rows, keep)).select(*keep, *[parts[i].alias(f"pc{i + 1}") for i in range(k)])
+
+    return project, model
+
+
 def principal_components(df: DataFrame, features: Sequence[str], k: int, keep: Sequence[str]) -> tuple[DataFrame, object]:
     """Mean-centred projection on the k leading components. Signs of components are arbitrary."""
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in features])).scalar()
-    based = df.select(*keep, *features, means.alias("_m"))
-    centred = based.select(*keep, *[(F.col(c) - F.col("_m")[c]).alias(c) for c in features])
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(centred)
-    model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(assembled)
-    parts = vector_to_array("_pc")
-    out = model.transform(assembled).select(*keep, *[parts[i].alias(f"pc{i + 1}") for i in range(k)])
-    return out, model
+    project, model = fit_components(df, features, k)
+    return project(df, keep), model
 
 
 def mean_fold_score(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], folds: int = 3, **options) -> float:
@@ -120,35 +133,59 @@ def search_feature_count(
     return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in tried], "k int, macro_f1 double, best boolean")
 
 
+Variant = tuple[Callable[[DataFrame], DataFrame], list[str]]
+
+
 def feature_variants(
-    df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], components: int, most: int | None = None
-) -> dict[str, tuple[DataFrame, list[str]]]:
-    """Original, pairwise-product and principal-component versions of a feature table.
+    train: DataFrame, features: Sequence[str], label: str, keep: Sequence[str], components: int, most: int | None = None
+) -> dict[str, Variant]:
+    """Original, pairwise-product and principal-component versions of a feature table, fitted on `train`.
 
-    All product features are kept unless `most` is given: then those of highest F score against the labels.
-    The names that come with each version say which stayed.
+    Each is a function to apply to any rows, with the names of the features it makes. All product features
+    are kept unless `most` is given: then those of highest F score against the training labels.
     """
-    keep = [*key, label]
-    products = interactions(df, features, keep)
+    products = interactions(train, features, keep)
     names = [c for c in products.columns if c not in keep]
     if most is not None and len(names) > most:
         names = [r["feature"] for r in top_features(anova_scores(products, names, label), "f_score", most).collect()]
-    reduced, _ = principal_components(df, features, components, keep)
+    project, _ = fit_components(train, features, components)
     return {
-        "original": (df.select(*keep, *features), list(features)),
-        "polynomial": (products.select(*keep, *names), names),
-        "pca": (reduced, [f"pc{i + 1}" for i in range(components)]),
+        "original": (lambda df: df.select(*keep, *features), list(features)),
+        "polynomial": (lambda df: interactions(df, features, keep).select(*keep, *names), names),
+        "pca": (lambda df: project(df, keep), [f"pc{i + 1}" for i in range(components)]),
     }
 
 
 def compare_variants(
-    df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], components: int, folds: int = 3, **options
-) -> DataFrame:
-    """Cross-validated macro F1 of every variant; the best is marked."""
-    tried = [
-        (name, len(cols), mean_fold_score(table, cols, label, key, folds, **options))
-        for name, (table, cols) in feature_variants(df, features, label, key, components).items()
-    ]
+    df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], components: int, folds: int = 3,
+    most: int | None = None, **options
+) -> DataFrame:
+    """Cross-validated macro F1 of every variant; the best is marked.
+
+    What a variant learns (means, components, chosen products) comes from each fold's training rows alone.
+    """
+    assigned = stored(stratified_folds(df.select(*key, label, *features), label, key, folds), "folds")
+    keep, scored, sizes = [*key, label, "fold"], {}, {}
+    for fold in range(folds):
+        train, held = assigned.where(F.col("fold") != fold), assigned.where(F.col("fold") == fold)
+        for name, (apply, columns) in feature_variants(train, features, label, keep, components, most).items():
+            model = forest(columns, label, **options).fit(apply(train))
+            classes = F.array(*[F.lit(x) for x in model.stages[0].labelsArray[0]])
+            guess = F.get(classes, F.col("prediction").cast("int")).alias("guess")
+            got = model.transform(apply(held)).select("fold", F.col(label).cast("string").alias("truth"), guess)
+            scored[name] = scored[name].unionByName(got) if name in scored else got
+            sizes[name] = len(columns)
+    tried = [(n, sizes[n], fold_scores(got).agg(F.avg("macro_f1")).first()[0]) for n, got in scored.items()]
     best = min(tried, key=lambda t: (-t[2], t[0]))[0]
     rows = [(n, c, s, n == best) for n, c, s in tried]
     return df.sparkSession.createDataFrame(rows, "variant string, features int, macro_f1 double, best boolean")
+
+
+def best_variant_applied(
+    train: DataFrame, validation: DataFrame, features: Sequence[str], label: str, key: Sequence[str], components: int,
+    most: int | None = None, **options
+) -> tuple[str, DataFrame, DataFrame]:
+    """The variant that compares best on the training rows, fitted on all of them and applied to both parts."""
+    best = compare_variants(train, features, label, key, components, most=most, **options).where("best").first()["variant"]
+    apply, _ = feature_variants(train, features, label, [*key, label], components, most)[best]
+    return best, apply(train), apply(validation)

@@ -17,7 +17,7 @@ from seqweft.plans.adapters import (
 from seqweft.plans.registry import query
 
 CLASSES = list(range(10))
-FEATURES = [f"e{i}" for i in range(16)]
+FEATURES = [f"e{i}" for i in range(64)]
 
 
 def feature_table(spark, sf):

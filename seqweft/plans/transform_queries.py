@@ -187,7 +187,7 @@ def feature_products_with_squares(spark, sf):
     return tf.interactions(subjects(spark, sf), _POLY, ["subject"], squares=True)
 
 
-_EMBEDDED = "u AS (SELECT label, 'e' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(0, 16) AS t(i))"
+_EMBEDDED = "u AS (SELECT label, 'e' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) AS t(i))"
 _ANOVA = f"""{_EMBEDDED}, g AS (SELECT feature, label, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS w FROM u GROUP BY ALL),
 a AS (SELECT feature, avg(v) AS m FROM u GROUP BY feature),
 fs AS (SELECT feature, (sum(n * pow(g.m - a.m, 2)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f_score
@@ -272,6 +272,18 @@ def variant_comparison(spark, sf):
     )
 
 
+@query("m14_best_variant_applied")
+def best_variant_applied(spark, sf):
+    """The best variant of eight entries, fitted on nine tenths of the rows, applied to the other tenth."""
+    rows = tf.stratified_folds(feature_table(spark, sf).select("vec_id", "label", *FEATURES[:8]), "label", ["vec_id"], 10)
+    train, validation = rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold")
+    name, _, held = models.best_variant_applied(
+        train, validation, FEATURES[:8], "label", ["vec_id"], 4, folds=2, trees=5, depth=4
+    )
+    values = [c for c in held.columns if c not in ("vec_id", "label")]
+    return held.select("vec_id", "label", F.lit(name).alias("variant"), F.array(*[F.round(c, 6) for c in values]).alias("vector"))
+
+
 _SEQ_HASH = _HASH.format("CAST(sequence_id AS VARCHAR)")
 _RANKED = f"""r AS (SELECT sequence_id, truth, row_number() OVER (PARTITION BY {{0}} ORDER BY {_SEQ_HASH}, sequence_id) - 1 AS i,
   count(*) OVER (PARTITION BY {{0}}) AS n FROM pr)"""

@@ -167,6 +167,23 @@ def test_components_are_centred_and_uncorrelated(spark):
     assert np.allclose(model.explainedVariance.toArray(), values[:3] / values.sum())
 
 
+def test_variants_learn_from_training_rows_only(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 3)) @ np.diag([4, 2, 1]) + 5
+    pdf = pd.DataFrame(x, columns=list("abc")).assign(id=range(120), g=["u", "v"] * 60)
+    train, held = spark.createDataFrame(pdf[:90]), spark.createDataFrame(pdf[90:])
+    variants = models.feature_variants(train, list("abc"), "g", ["id", "g"], 2)
+    apply, names = variants["pca"]
+    got = apply(held).orderBy("id").toPandas()[names].to_numpy()
+    axes = np.linalg.eigh(np.cov(x[:90].T))[1][:, ::-1][:, :2]
+    assert np.allclose(np.abs(got), np.abs((x[90:] - x[:90].mean(axis=0)) @ axes))
+    assert len(variants["polynomial"][1]) == len(models.feature_variants(train, list("abc"), "g", ["id", "g"], 2, most=2)["polynomial"][1]) + 4
+    scores = models.compare_variants(train, list("abc"), "g", ["id"], 2, folds=2, trees=3, depth=3).collect()
+    assert [r.variant for r in scores if r.best] == [min(scores, key=lambda r: (-r.macro_f1, r.variant)).variant]
+    name, _, applied = models.best_variant_applied(train, held, list("abc"), "g", ["id"], 2, folds=2, trees=3, depth=3)
+    assert name in variants and applied.count() == 30
+
+
 def test_salted_join_equals_plain_join(spark, mode):
     left = spark.range(300).select("id", F.when(F.col("id") < 150, 1).otherwise(F.col("id") % 9).alias("k"))
     right = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "k long, name string")
