@@ -155,7 +155,7 @@ def concentrated(rows: DataFrame, names: list[str], floors: list[float], cell: s
 
 
 def with_verdicts(
-    df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cut: float = 80.0, least: int = 100, share: float = 0.75
+    df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cut: float = 50.0, least: int = 100, share: float = 0.75
 ) -> DataFrame:
     """Adds the counts, `base_failed`, `distance` and `kept`.
 
