@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweft.llm.common import stored, text_column
+from seqweft.llm.common import release_memory, stored, text_column
 from seqweft.llm.components import components
 
 COORDINATES = 32
@@ -31,7 +31,7 @@ SAFETY = 5.0
 LONG = 64
 BLOCK = 512
 #: Shingles in a block of a family.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 18
 _MIX = np.random.default_rng(2654435761).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64)
 _XOR, _ODD = _MIX[0][:, None], (_MIX[1] * np.uint64(2) + np.uint64(1))[:, None]
 
@@ -109,6 +109,7 @@ def by_group(frames: Iterator[pd.DataFrame], keys: list[str], solve) -> Iterator
             yield pd.DataFrame(out, columns=["a", "b"])
     if rest is not None and len(rest) > 1 and (out := solve(rest)):
         yield pd.DataFrame(out, columns=["a", "b"])
+    release_memory()
 
 
 def collided(least: int):
@@ -140,7 +141,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(1, (1 << 22) // len(sets))
+    step = max(1, (1 << 20) // len(sets))
     for low in range(0, int(at[-1]) + 1 if len(at) else 0, step):
         a, b = np.searchsorted(at, (low, low + step))
         holds = np.zeros((len(sets), step), np.float32)

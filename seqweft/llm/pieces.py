@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from seqweft.llm.common import text_column, with_struct
 
 SPACE = "▁"
-CACHED = 250_000
-PAIRS = 400_000
+CACHED = 150_000
+PAIRS = 200_000
 SCHEMA = "ids binary, decoded string"
 # Kinds of pieces in the model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -129,6 +129,12 @@ class Pieces:
         out.append(self.packed([self.end]))
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.recent, self.older = {}, {}
+        self.stable_pair.cache_clear()
+        self.stable.cache_clear()
+
     @staticmethod
     def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -152,7 +158,7 @@ def token_struct(path: str):
         ids = [pieces.encode(t or "") for t in texts]
         return pd.DataFrame({"ids": ids, "decoded": [pieces.decode(i) for i in ids]})
 
-    return text_column(coded, SCHEMA)
+    return text_column(coded, SCHEMA, lambda: model(path).forget())
 
 
 def encode_decode(df: DataFrame, path: str, text: Column | str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.llm import tagger
-from seqweft.llm.common import with_struct
+from seqweft.llm.common import small_batches, with_struct
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE = 64, 32
@@ -221,7 +221,10 @@ def learn(df: DataFrame, key: str, text: str, sample: int = 200, chars: int = 20
     """Trains on the `sample` rows with an anchor that have the smallest hash of the key, with up to `chars` characters
     each, and on about `written` written windows; the bound holds for tables of any size."""
     rows = df.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(key).alias("h"), F.substring(text, 1, chars).alias("t"))
-    texts = [r.t for r in rows.orderBy("h", F.length("t"), "t").limit(sample).collect()]
+    # The hashes first, as each task sends as many rows as are wanted; then only the texts that have them.
+    hashes = [r.h for r in rows.select("h").orderBy("h").limit(sample).collect()]
+    chosen = rows.where(F.col("h") <= hashes[-1]) if hashes else rows.limit(0)
+    texts = [r.t for r in chosen.orderBy("h", F.length("t"), "t").limit(sample).collect()]
     windows, truth = labelled_windows(texts, written)
     return tagger.train(windows, truth, SYMBOLS, TAGS)
 
@@ -255,6 +258,7 @@ SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base string, spans
 
 def private_struct(p: tagger.Params):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
+    small_batches()
 
     @F.pandas_udf(SCHEMA)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
