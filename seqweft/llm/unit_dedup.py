@@ -2,20 +2,22 @@
 
 Texts are cut into units (paragraphs, lines, or pieces of lines that end with a sentence), which are
 normalised and hashed. One aggregate over all digests finds the first document of each; joined back, every
-later place is marked, and adjacent marked units make a run with its offsets in the original text.
+later place is marked, and adjacent marked units make a run with its offsets in the original text. A passage
+seldom begins and ends where units do, so runs can be carried on word by word into the units beside them.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweft.llm.common import fresh, stored, text_column
+from seqweft.llm.common import fresh, release_memory, stored, text_column
 
 SPACE = "\x20\x09-\x0d"
 #: Words after which a unit of the kind "sentence" ends at the next sentence border.
@@ -37,6 +39,9 @@ LINE = re.compile(r"[^\n]+")
 PARAGRAPH = re.compile(rf"[^\n]+(?:\n(?![{SPACE}]*\n)[^\n]+)*")
 #: A border between sentences: a closing mark before the space, or a capital after it.
 BORDER = re.compile(rf"(?<=[.!?])[{SPACE}]+|[{SPACE}]+(?=[{_capitals()}])|\n+")
+#: What units are made of: runs of what isn't space, as bytes.split() takes it, with A-Z lower-cased.
+WORD = re.compile(rf"[^{SPACE}]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -84,27 +89,127 @@ def units_struct(unit: str):
     return text_column(cut, f"units array<struct<{UNIT.replace(' ', ':').replace(',:', ',')}>>, row long")
 
 
-def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = 25) -> DataFrame:
+def repeated_runs(
+    df: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = 25, into_neighbours: bool = False,
+) -> DataFrame:
     """(key, row, start, end, n_units, n_words, first_key): runs of adjacent units that stand earlier.
 
     The first place of a unit is in the row with the least key; there, only its later places in the same
     text count. Runs of at least `least_words` words are given, with offsets in the original text;
-    `first_key` is the least of the keys that keep a unit of the run. Null keys rank last and remove nothing
+    `first_key` is the least of the keys that keep a unit of the run. With `into_neighbours`, a run is first
+    carried on over the words that the units beside it share with those beside the first places of its first
+    and last unit; these count for the limit, and `n_units` stays the number of whole units. Null keys rank last and remove nothing
     from one another; rows that repeat a key rank alike and are told apart by `row`, a hash of the text (equal rows
     give one result). Null and empty texts have no units; the input's other columns don't matter.
     """
     made = df.select(F.col(key).alias("key"), units_struct(unit)(F.col(text).cast("string")).alias("m"))
     places = stored(made.select("key", F.col("m.row").alias("row"), F.explode("m.units").alias("x")).select("key", "row", "x.*"), "units")
-    first = places.groupBy("h1", "h2").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    place = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "u")) if into_neighbours else F.lit(None)
+    first = places.groupBy("h1", "h2").agg(F.min("key").alias("first_key"), place.alias("place"), F.count(F.lit(1)).alias("n"))
+    first = first.where(F.col("n") > 1).drop("n")
     later = F.col("again") | F.coalesce(F.col("key") > F.col("first_key"), F.col("key").isNull() & F.col("first_key").isNotNull())
-    marked = places.join(first, ["h1", "h2"]).where(later).select("key", "row", "u", "start", "end", "words", "first_key")
+    marked = places.join(first, ["h1", "h2"]).where(later).select("key", "row", "u", "start", "end", "words", "first_key", "place")
     order = Window.partitionBy("key", "row").orderBy("u")
     runs = marked.distinct().withColumn("run", F.col("u") - F.row_number().over(order)).groupBy("key", "row", "run")
     out = runs.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"),
         F.sum("words").alias("n_words"), F.min("first_key").alias("first_key"),
+        F.min("u").alias("u0"), F.max("u").alias("u1"), F.min_by("place", "u").alias("p0"), F.max_by("place", "u").alias("p1"),
+    )
+    if into_neighbours:
+        out = carried_on(out.drop("run"), df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), unit)
+        return out.where(F.col("whole") >= least_words).drop("whole")
+    return out.where(F.col("n_words") >= least_words).drop("run", "u0", "u1", "p0", "p1")
+
+
+def words_at(text: str) -> list[tuple[str, int, int]]:
+    """(word as units compare it, start, end) of all words of a text."""
+    return [(m.group().translate(_LOWER), *m.span()) for m in WORD.finditer(text)]
+
+
+def shared(own: list, other: list) -> int:
+    """How many words two lists share from their beginning on."""
+    n = 0
+    for (a, *_), (b, *_) in zip(own, other, strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+def _row(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) - (1 << 63)
+
+
+def carried_on(runs: DataFrame, docs: DataFrame, unit: str) -> DataFrame:
+    """Runs with the words before and after them that stand beside the first places too; `whole` counts all of them.
+
+    Only the units beside runs and first places are fetched, from texts that have any. The words between two runs go
+    to the first of them where both want them, and a run isn't carried on into its own first place.
+    """
+    runs = stored(runs, "runs")
+    same = lambda p: F.col(f"{p}.key").eqNullSafe(F.col("key")) & (F.col(f"{p}.row") == F.col("row"))
+    # Null keys keep nothing for one another.
+    known = lambda p: ~F.col(f"{p}.none") | same(p)
+    ahead = known("p0") & ~(same("p0") & (F.col("u0") - 1 <= F.col("p0.u") + F.col("u1") - F.col("u0")))
+    asked = F.array(
+        F.when(ahead, F.struct(F.lit(0).alias("side"), "key", "row", (F.col("u0") - 1).alias("u"))),
+        F.when(ahead, F.struct(F.lit(1).alias("side"), F.col("p0.key").alias("key"), F.col("p0.row").alias("row"), (F.col("p0.u") - 1).alias("u"))),
+        F.when(known("p1"), F.struct(F.lit(2).alias("side"), "key", "row", (F.col("u1") + 1).alias("u"))),
+        F.when(known("p1"), F.struct(F.lit(3).alias("side"), F.col("p1.key").alias("key"), F.col("p1.row").alias("row"), (F.col("p1.u") + 1).alias("u"))),
+    )
+    asks = runs.select(F.col("key").alias("rk"), F.col("row").alias("rr"), F.col("u0").alias("ru"), F.explode(asked).alias("a")).where("a.u >= 0")
+    asks = asks.select("rk", "rr", "ru", "a.*")
+    wanted = asks.select("key", "row", "u").distinct().groupBy(F.col("key").alias("wk"), F.col("row").alias("wr")).agg(F.collect_list("u").alias("us"))
+
+    @F.pandas_udf("long")
+    def row_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_row(t) for t in texts], dtype="int64")
+        release_memory()
+
+    @F.pandas_udf("array<struct<u:int,start:int,said:string>>")
+    def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, numbers in batches:
+            out = []
+            for t, us in zip(texts, numbers, strict=True):
+                spans = [(a, b) for a, b in spans_of(t, unit) if WORD.search(t, a, b)]
+                out.append([{"u": int(u), "start": spans[u][0], "said": t[slice(*spans[u])]} for u in us if u < len(spans)])
+            yield pd.Series(out, index=texts.index)
+        release_memory()
+
+    texts = docs.where(F.length("text") > 0).withColumn("row", row_of("text"))
+    found = texts.join(wanted, F.col("key").eqNullSafe(F.col("wk")) & (F.col("row") == F.col("wr"))).select("key", "row", F.explode(pieces("text", "us")).alias("x"))
+    found = found.select(F.col("key").alias("fk"), F.col("row").alias("fr"), F.col("x.u").alias("fu"), "x.start", "x.said")
+    found = found.dropDuplicates(["fk", "fr", "fu"])
+    got = asks.join(found, F.col("key").eqNullSafe(F.col("fk")) & (F.col("row") == F.col("fr")) & (F.col("u") == F.col("fu")))
+    side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
+    beside = got.groupBy("rk", "rr", "ru").agg(*[side(n, "said").alias(f"t{n}") for n in range(4)], side(0, "start").alias("s0"), side(2, "start").alias("s2"))
+
+    @F.pandas_udf("before array<int>, n_before int, after array<int>, n_after int, n_left int")
+    def compared(t0: pd.Series, t1: pd.Series, t2: pd.Series, t3: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b, c, d in zip(t0, t1, t2, t3, strict=True):
+            left, right = words_at(a or ""), words_at(c or "")
+            l, r = shared(left[::-1], words_at(b or "")[::-1]), shared(right, words_at(d or ""))  # noqa: E741
+            # Where each shared word before the run begins, the nearest first; where each one after it ends.
+            rows.append(([w[1] for w in left[::-1][:l]], l, [w[2] for w in right[:r]], r, len(left)))
+        return pd.DataFrame(rows, columns=["before", "n_before", "after", "n_after", "n_left"])
+
+    beside = beside.select("rk", "rr", "ru", "s0", "s2", compared("t0", "t1", "t2", "t3").alias("c")).select("rk", "rr", "ru", "s0", "s2", "c.*")
+    out = runs.join(beside, F.col("key").eqNullSafe(F.col("rk")) & (F.col("row") == F.col("rr")) & (F.col("u0") == F.col("ru")), "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    out = out.withColumns({"n_before": none("n_before"), "n_after": none("n_after")}).withColumn("whole", F.col("n_words") + F.col("n_before") + F.col("n_after"))
+    order = Window.partitionBy("key", "row").orderBy("u0")
+    taken = F.when(F.lag("u1").over(order) + 2 == F.col("u0"), F.lag("n_after").over(order))
+    free = F.least("n_before", F.coalesce("n_left", F.lit(0)) - none(taken))
+    out = out.withColumn("free", F.greatest(free, F.lit(0)))
+    return out.select(
+        "key", "row",
+        F.when(F.col("free") > 0, F.col("s0") + F.get("before", F.col("free") - 1)).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("n_after") > 0, F.col("s2") + F.get("after", F.col("n_after") - 1)).otherwise(F.col("end")).alias("end"),
+        "n_units", (F.col("n_words") + F.col("free") + F.col("n_after")).alias("n_words"), "first_key", "whole",
     )
-    return out.where(F.col("n_words") >= least_words).drop("run")
 
 
 def without_repeats(df: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

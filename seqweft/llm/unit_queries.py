@@ -11,5 +11,5 @@ from seqweft.llm.unit_dedup import repeated_runs
 
 @query("op9_substring_dedup")
 def substring_dedup(spark, sf):
-    runs = repeated_runs(table(spark, sf, "documents").select("doc_id", "text"))
+    runs = repeated_runs(table(spark, sf, "documents").select("doc_id", "text"), into_neighbours=True)
     return runs.select(F.col("key").alias("doc_id"), "start", "end", "n_units", "n_words", F.col("first_key").alias("first_doc_id"))

@@ -83,3 +83,42 @@ def test_null_repeated_keys_and_empty_tables(spark):
     got = repeated_runs(docs(spark, [(i, t, None, None) for i, t in rows]), unit="line", least_words=5).collect()
     assert sorted(((r.key, r.start, r.n_units) for r in got), key=str) == sorted([(None, 0, 1), (None, 0, 2), (2, 0, 1)], key=str)
     assert repeated_runs(docs(spark, [])).count() == 0
+
+
+def test_passages_that_begin_and_end_inside_units_are_cut_out_whole(spark):
+    rng = random.Random(51)
+    rows, planted = [(0, prose(rng, 300))], []
+    words = rows[0][1].split()
+    for i in range(1, 121):
+        a = rng.randrange(len(words) - 51)
+        before, after = sentence(rng, 6)[:-1], sentence(rng, 6).lower()
+        text = f"{before} " + " ".join(words[a : a + 51]) + f" {after}"
+        rows.append((i, text))
+        planted.append((i, len(before) + 1, len(text) - len(after) - 1))
+    rows.append((200, rows[1][1]))
+    df = docs(spark, [(i, t, None, None) for i, t in rows])
+    got = repeated_runs(df, into_neighbours=True).collect()
+    assert len({(r.key, r.row) for r in got}) == len(got)
+    found = {r.key: r for r in got}
+    assert set(found) == {*range(1, 121), 200}
+    for i, a, b in planted:
+        # Words of the texts around may equal those of the first place by chance, one or two at most.
+        assert found[i].start <= a and found[i].end >= b, (rows[i][1], found[i])
+        assert found[i].n_words <= 54
+    assert found[200].start == 0 and found[200].end == len(rows[1][1])
+
+
+def test_runs_that_meet_do_not_overlap_and_first_places_stay(spark):
+    rng = random.Random(3)
+    one, two = prose(rng, 5), prose(rng, 5)
+    link = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(0, one + " " + link.capitalize() + " one two three."), (1, "One two three four " + link + ". " + two), (2, one + " " + link.capitalize() + ". " + two), (3, "tail end. " + one + " " + one)]
+    got = repeated_runs(docs(spark, [(i, t, None, None) for i, t in rows]), into_neighbours=True)
+    spans = {}
+    for r in got.collect():
+        spans.setdefault(r.key, []).append((r.start, r.end))
+    for i, t in rows:
+        own = sorted(spans.get(i, []))
+        assert all(b <= c for (_, b), (c, _) in zip(own, own[1:], strict=False))
+        assert all(0 <= a < b <= len(t) for a, b in own)
+    assert 0 not in spans and 2 in spans and 3 in spans
