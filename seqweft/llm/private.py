@@ -32,7 +32,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-ANCHOR = re.compile(r"[0-9@]|\bdot\b|[\[({]\s?at\s?[\])}]")
+#: What every believable span holds: a digit, an at-sign or one of its spelled forms before a domain, as plain() reads them.
+ANCHOR = re.compile(r"[0-9@]|\bdot\b|[\[({]\s*(?:at|dot|\.)\s*[\])}]|(?<=\s)at\s+[a-z0-9-]+\s*\.\s*[a-z0-9]", re.I)
 _NO_DIGIT = re.compile(r"[^0-9]")
 
 

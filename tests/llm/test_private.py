@@ -108,3 +108,14 @@ def test_learning_from_a_table_is_bounded_and_works_without_rows(spark):
     empty = docs(spark, [])
     p = private.learn(empty, "doc_id", "text", written=64)
     assert tagger.best_tags(p, private.cut(private.symbols("abc"), __import__("numpy").array([0]))).shape == (1, private.WINDOW)
+
+
+def test_every_believable_address_has_a_window_over_it():
+    forms = ["john at example.com", "JOHN [AT] EXAMPLE [DOT] COM", "John AT Example . Com", "john {  at  } web.org", "john (at) web[.]org", "john at web DOT org", "john at mail.web.org"]
+    for said in forms:
+        assert private.believable(said, 0)
+        for k in (0, 31, 64, 200):
+            text = "x" * k + " " + said + " " + "y" * 100
+            starts = private.window_starts(text, len(text))
+            seen = {at for s in starts.tolist() for at in range(s + private.STRIDE // 2, s + private.STRIDE // 2 + private.STRIDE)}
+            assert {*range(k + 1, k + 1 + len(said))} <= seen, (said, k)
