@@ -8,7 +8,7 @@ from seqweft.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["near_queries", "language_queries", "url_queries", "private_queries", "line_queries", "quality_queries", "token_queries", "warc_queries", "unit_queries", "leak_queries", "negative_queries"]
+MODULES = ["near_queries", "language_queries", "url_queries", "private_queries", "line_queries", "quality_queries", "token_queries", "warc_queries", "unit_queries", "leak_queries", "negative_queries", "lexical_queries", "toxicity_queries"]
 
 
 def query(name: str, sql: str | None = None):
