@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as its own vector beside the mean of its character trigrams' vectors. Both directions read a
-window of words, a softmax over the words' states pools them, and one output scores the window. Arrays
+A word enters as its own vector beside the mean of what its characters say: each stands for the trigram
+around it and for the word's beginning up to it. Both directions read a window of words, a softmax over the words' states pools them, and one output scores the window. Arrays
 have the windows last, so that every step works on whole rows.
 """
 
@@ -14,11 +14,12 @@ Params = dict[str, np.ndarray]
 SHUT = 60.0
 
 
-def start(words: int, grams: int, wide: int, hidden: int, rng: np.random.Generator) -> Params:
-    """Vectors of words (number 0: unknown) and of trigram buckets, and weights of both directions, gates z, r, n."""
+def start(words: int, grams: int, stems: int, wide: int, hidden: int, rng: np.random.Generator) -> Params:
+    """Vectors of words (0: unknown), trigrams and beginnings (0: none), and weights of both directions, gates z, r, n."""
     p = {
-        "word": rng.normal(0, 0.3, (words, wide)),
-        "gram": rng.normal(0, 0.3, (grams, wide)),
+        "word": rng.normal(0, 0.1, (words, wide)),
+        "gram": rng.normal(0, 0.1, (grams, wide)),
+        "stem": rng.normal(0, 0.1, (stems, wide)),
         "in": rng.normal(0, 1 / np.sqrt(2 * wide), (2, 3 * hidden, 2 * wide)),
         "state": rng.normal(0, 0.5 / np.sqrt(hidden), (2, 3 * hidden, hidden)),
         "gate": np.zeros((2, 3 * hidden, 1)),
@@ -26,15 +27,27 @@ def start(words: int, grams: int, wide: int, hidden: int, rng: np.random.Generat
         "out": rng.normal(0, 0.3, 2 * hidden),
         "bias": np.zeros(1),
     }
+    p["word"][0] = p["stem"][0] = 0
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def spelled(p: Params, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Mean vector of each word's trigrams; the words' trigrams stand one after another from `starts` on."""
+def spelled(p: Params, grams: np.ndarray, stems: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Mean vector of each word's characters; the words' characters stand one after another from `starts` on."""
     if not len(starts):
         return np.zeros((0, p["gram"].shape[1]), np.float32)
     sizes = np.diff(np.r_[starts, len(grams)])
-    return np.add.reduceat(p["gram"][grams], starts, axis=0) / sizes[:, None].astype(np.float32)
+    return np.add.reduceat(p["gram"][grams] + p["stem"][stems], starts, axis=0) / sizes[:, None].astype(np.float32)
+
+
+def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each number below n."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        ordered = at[order]
+        firsts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        out[ordered[firsts]] = np.add.reduceat(rows[order], firsts, axis=0)
+    return out
 
 
 def inputs(p: Params, features: np.ndarray) -> np.ndarray:
@@ -102,10 +115,10 @@ def back(p: Params, slope: np.ndarray, memory) -> tuple[Params, np.ndarray]:
 
 
 class Adam:
-    """Steps whose pace falls to a tenth over the run."""
+    """Steps whose pace falls to a tenth over the run; weights shrink by a share of the pace."""
 
-    def __init__(self, p: Params, steps: int, rate: float) -> None:
-        self.p, self.steps, self.rate, self.step = p, max(1, steps), rate, 0
+    def __init__(self, p: Params, steps: int, rate: float, shrink: float = 0.0) -> None:
+        self.p, self.steps, self.rate, self.shrink, self.step = p, max(1, steps), rate, shrink, 0
         self.mean, self.square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
     def move(self, g: Params) -> None:
@@ -117,4 +130,4 @@ class Adam:
             self.mean[k] += 0.1 * (v - self.mean[k])
             self.square[k] += 0.01 * (v * v - self.square[k])
             scaled = self.mean[k] / (1 - 0.9**self.step) / (np.sqrt(self.square[k] / (1 - 0.99**self.step)) + 1e-6)
-            self.p[k] -= (pace * scaled).astype(np.float32)
+            self.p[k] -= (pace * (scaled + self.shrink * self.p[k])).astype(np.float32)

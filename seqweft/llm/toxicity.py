@@ -19,10 +19,20 @@ from seqweft.llm.common import fresh, release_memory, small_batches, with_struct
 
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 64, 48
-WORDS, GRAMS, WIDE, HIDDEN = 4096, 4096, 16, 16
+WORDS, GRAMS, STEMS, WIDE, HIDDEN = 8192, 4096, 1 << 14, 16, 16
+#: Bytes of a word's beginning that may speak by themselves.
+STEM_BYTES = (4, 12)
 #: Windows that go through the network together, and bytes of text that are cut together.
 AT_ONCE = 256
-BYTES = 1 << 19
+BYTES = 1 << 20
+#: Standard errors that a word's odds must lie from nothing to be where learning starts from.
+SURE = 2.5
+#: Share of the pace by which weights shrink at every step.
+SHRINK = 0.1
+#: Log odds of a text without a word.
+SILENT = -4.0
+#: Windows of a training step.
+BATCH = 192
 SLOTS = 16
 SCHEMA = "score double, predicted int"
 _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -32,27 +42,51 @@ with np.errstate(over="ignore"):
 
 
 class Cut:
-    """Words of some texts: a hash of each, its character trigrams, and to which text it belongs."""
+    """Words of some texts: a number among the distinct ones, whose hashes and characters are kept once."""
 
     def __init__(self, texts: list[str | None]) -> None:
         said = [(t or "").lower().encode("utf-8", "replace") for t in texts]
         flat = np.frombuffer(b" ".join([*said, b" "]), np.uint8)
         letter = _LETTER[flat]
         edges = np.flatnonzero(np.diff(np.r_[False, letter].astype(np.int8)))
-        starts, ends = edges[::2], edges[1::2]
-        sizes = ends - starts
-        at = np.flatnonzero(letter)
-        # Trigrams around each letter; what isn't part of the word counts as 0.
-        inside = np.where(letter, flat, 0).astype(np.uint32)
-        before, after = np.r_[np.uint32(0), inside[:-1]], np.r_[inside[1:], np.uint32(0)]
-        self.grams = (((before * np.uint32(0x01000193) + inside) * np.uint32(0x85EBCA6B) + after) * np.uint32(0xC2B2AE35) >> np.uint32(20))[at].astype(np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(at)) - np.repeat(self.starts, sizes)
+        begins, ends = edges[::2], edges[1::2]
+        self.firsts = np.searchsorted(begins, np.cumsum([0, *[len(s) + 1 for s in said]]))  # words before each text's beginning
+        first, self.words = self.distinct(flat, begins, ends)
+        self.characters(flat, begins[first], ends[first])
+
+    def distinct(self, flat: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of every distinct word, and each word's number among these."""
+        at, starts, place = spread(begins, ends)
+        hashes = self.mixed(flat[at], place)
+        whole = np.add.reduceat(hashes, starts) * _ODD if len(starts) else np.empty(0, np.uint64)
+        self.hashes, first, words = np.unique(whole, return_index=True, return_inverse=True)
+        return first, words
+
+    @staticmethod
+    def mixed(characters: np.ndarray, place: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            mixed = (inside[at].astype(np.uint64) + np.uint64(7)) * _POWERS[place & 255] * (np.uint64(1) + (place >> 8).astype(np.uint64))
-            self.hashes = np.add.reduceat(mixed, self.starts) * _ODD if len(starts) else np.empty(0, np.uint64)
-        first = np.cumsum([0, *[len(s) + 1 for s in said]])
-        self.firsts = np.searchsorted(starts, first)  # words before each text's beginning
+            return (characters.astype(np.uint64) + np.uint64(7)) * _POWERS[place & 255] * (np.uint64(1) + (place >> 8).astype(np.uint64))
+
+    def characters(self, flat: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """For every character of the distinct words its trigram, 0 standing beside the word, and the beginning up to it."""
+        at, self.starts, place = spread(begins, ends)
+        inside = flat[at].astype(np.uint32)
+        size = np.repeat(ends - begins, ends - begins)
+        before, after = np.where(place > 0, np.roll(inside, 1), 0).astype(np.uint32), np.where(place < size - 1, np.roll(inside, -1), 0).astype(np.uint32)
+        mixed = ((before * np.uint32(0x01000193) + inside) * np.uint32(0x85EBCA6B) + after) * np.uint32(0xC2B2AE35)
+        self.grams = (mixed >> np.uint32(32 - GRAMS.bit_length() + 1)).astype(np.int64)
+        hashes = np.cumsum(self.mixed(inside, place))
+        until = hashes - np.repeat(np.r_[np.uint64(0), hashes][self.starts], ends - begins)
+        stems = (until * _ODD >> np.uint64(64 - STEMS.bit_length() + 1)).astype(np.int64)
+        self.stems = np.where((place + 1 >= STEM_BYTES[0]) & (place < STEM_BYTES[1]), np.maximum(stems, 1), 0)
+
+
+def spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all characters of some words, where each word begins among these, and the characters' places in their words."""
+    sizes = ends - begins
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+    return np.repeat(begins, sizes) + place, starts, place
 
 
 class Vocabulary:
@@ -88,9 +122,9 @@ class Model:
         self.params, self.vocabulary, self.shift = params, vocabulary, shift
 
     def features(self, cut: Cut) -> np.ndarray:
-        """Gate inputs of every word; one more row, for places without a word, keeps the state."""
+        """Gate inputs of every distinct word; one more row, for places without a word, keeps the state."""
         words = self.params["word"][self.vocabulary.numbers(cut.hashes)]
-        both = np.concatenate([words, gated.spelled(self.params, cut.grams, cut.starts)], axis=1)
+        both = np.concatenate([words, gated.spelled(self.params, cut.grams, cut.stems, cut.starts)], axis=1)
         return np.concatenate([gated.inputs(self.params, both), nothing(self.params)])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -102,9 +136,9 @@ class Model:
         order = np.argsort(size, kind="stable")  # windows of like length run together
         for a in range(0, len(order), AT_ONCE):
             some = order[a : a + AT_ONCE]
-            x, there = laid_out(rows, begin[some], size[some])
+            x, there, _ = laid_out(rows, cut.words, begin[some], size[some])
             np.maximum.at(out, owner[some], gated.run(self.params, x, there)[0].astype(float))
-        return out - self.shift
+        return np.where(np.diff(cut.firsts[: len(texts) + 1]) > 0, out - self.shift, SILENT)
 
 
 def nothing(p: gated.Params) -> np.ndarray:
@@ -114,13 +148,14 @@ def nothing(p: gated.Params) -> np.ndarray:
     return row.reshape(1, -1)
 
 
-def laid_out(rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gate inputs (length, 2, 3 * hidden, windows) of windows over words, and which words are there."""
+def laid_out(rows: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gate inputs (length, 2, 3 * hidden, windows) of windows over words, which words are there, and their rows."""
     length = max(1, int(size.max()))
     there = np.arange(length)[:, None] < size
-    at = np.where(there, begin + np.arange(length)[:, None], len(rows) - 1)
+    at = np.full(there.shape, len(rows) - 1)
+    at[there] = words[(begin + np.arange(length)[:, None])[there]]
     x = np.ascontiguousarray(rows[at].transpose(0, 2, 1))
-    return x.reshape(length, 2, -1, len(begin)), there
+    return x.reshape(length, 2, -1, len(begin)), there, at
 
 
 def in_pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -139,16 +174,20 @@ def in_pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
 # --- training
 
 
-def known_words(texts: list[str], labels: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that stand in most texts (three at least), and how much their presence speaks for label 1."""
-    counts: dict[int, list[int]] = {}
-    for text, label in zip(texts, labels, strict=True):
-        for h in np.unique(Cut([text]).hashes).tolist():
-            counts.setdefault(h, [0, 0])[int(label)] += 1
-    chosen = sorted(((h, c) for h, c in counts.items() if sum(c) >= 3), key=lambda x: (-sum(x[1]), x[0]))[:words]
-    n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
-    odds = [np.log((c[1] + 0.5) / (n1 + 1)) - np.log((c[0] + 0.5) / (n0 + 1)) for _, c in chosen]
-    return np.array([h for h, _ in chosen], np.uint64), np.array(odds, np.float32)
+def log_odds(present: list[np.ndarray], labels: np.ndarray, least: int = 3) -> dict[int, tuple[int, float]]:
+    """For each thing that stands in `least` or more texts their number, and how much its presence speaks for label 1."""
+    things, counts = np.unique(np.concatenate([p for p, y in zip(present, labels, strict=True) if y] or [np.empty(0, np.int64)]), return_counts=True)
+    ones = dict(zip(things.tolist(), counts.tolist(), strict=True))
+    things, counts = np.unique(np.concatenate(present), return_counts=True)
+    n1, n0 = int(labels.sum()), int((labels == 0).sum())
+    out = {}
+    for x, n in zip(things.tolist(), counts.tolist(), strict=True):
+        if n >= least:
+            one = ones.get(x, 0)
+            odds = float(np.log((one + 0.5) / (n1 + 1)) - np.log((n - one + 0.5) / (n0 + 1)))
+            sure = abs(odds) > SURE * np.sqrt(1 / (one + 0.5) + 1 / (n - one + 0.5))
+            out[x] = n, odds if sure else 0.0
+    return out
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 17) -> Model:
@@ -157,25 +196,29 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0
     A fifth of the texts isn't trained on: on these the point between the classes is set.
     """
     rng = np.random.default_rng(seed)
-    hashes, odds = known_words(texts, labels, WORDS - 1)
-    vocabulary = Vocabulary(hashes)
-    p = gated.start(len(hashes) + 1, GRAMS, WIDE, HIDDEN, rng)
-    p["word"][0] = 0
-    p["word"][1:, 0] = odds  # the words' own odds are where learning starts from
+    cuts = [Cut([t]) for t in texts]
+    words = log_odds([c.hashes for c in cuts], labels)
+    hashes = sorted(words, key=lambda h: (-words[h][0], h))[: WORDS - 1]
+    vocabulary = Vocabulary(np.array(hashes, np.uint64))
+    p = gated.start(len(hashes) + 1, GRAMS, STEMS, WIDE, HIDDEN, rng)
+    # Learning starts from what the presence of a word or a beginning alone says.
+    p["word"][1:, 0] = [words[h][1] for h in hashes]
+    p["stem"][:, 0] = 0
+    for stem, (_, odds) in log_odds([np.unique(c.stems) for c in cuts], labels).items():
+        p["stem"][stem, 0] = odds if stem else 0
     model = Model(p, vocabulary)
     order = rng.permutation(len(texts))
     checked, learned = order[: len(order) // 5], order[len(order) // 5 :]
-    # Texts that say nothing are clean.
-    bags = [(Cut([texts[i]]), int(labels[i])) for i in learned] + [(Cut([""]), 0)] * max(1, len(learned) // 50)
+    bags = [(cuts[i], int(labels[i])) for i in learned]
     sizes = np.array([len(windows_of(c.firsts)[0]) for c, _ in bags])
-    steps = epochs * -(-int(sizes.sum()) // AT_ONCE)
-    adam = gated.Adam(p, steps, rate)
+    steps = epochs * -(-int(sizes.sum()) // BATCH)
+    adam = gated.Adam(p, steps, rate, SHRINK)
     for _ in range(epochs):
         held, size = [], 0
         for i in rng.permutation(len(bags)):
             held.append(bags[i])
             size += sizes[i]
-            if size >= AT_ONCE:
+            if size >= BATCH:
                 adam.move(gradients(model, held, rng))
                 held, size = [], 0
         if held:
@@ -189,14 +232,15 @@ def gradients(model: Model, bags: list[tuple[Cut, int]], rng: np.random.Generato
     p = model.params
     numbers = np.concatenate([model.vocabulary.numbers(c.hashes) for c, _ in bags])
     numbers[rng.random(len(numbers)) < 0.1] = 0  # so that spelling has to speak too
-    grams = np.concatenate([c.grams for c, _ in bags])
-    shifts = np.cumsum([0, *[len(c.grams) for c, _ in bags]])
-    starts = np.concatenate([c.starts + s for (c, _), s in zip(bags, shifts, strict=False)])
-    firsts = np.cumsum([0, *[len(c.hashes) for c, _ in bags]])
-    features = np.concatenate([p["word"][numbers], gated.spelled(p, grams, starts)], axis=1)
+    grams, stems = np.concatenate([c.grams for c, _ in bags]), np.concatenate([c.stems for c, _ in bags])
+    before = lambda sizes: np.cumsum([0, *sizes])
+    starts = np.concatenate([c.starts + s for (c, _), s in zip(bags, before([len(c.grams) for c, _ in bags]), strict=False)])
+    words = np.concatenate([c.words + s for (c, _), s in zip(bags, before([len(c.hashes) for c, _ in bags]), strict=False)])
+    firsts = before([len(c.words) for c, _ in bags])
+    features = np.concatenate([p["word"][numbers], gated.spelled(p, grams, stems, starts)], axis=1)
     rows = np.concatenate([gated.inputs(p, features), nothing(p)])
     owner, begin, size = windows_of(firsts)
-    x, there = laid_out(rows, begin, size)
+    x, there, at = laid_out(rows, words, begin, size)
     scores, memory = gated.run(p, x, there, keep=True)
     worst = np.full(len(bags), -np.inf, np.float32)
     np.maximum.at(worst, owner, scores)
@@ -207,18 +251,15 @@ def gradients(model: Model, bags: list[tuple[Cut, int]], rng: np.random.Generato
     slope = (part * wrong[owner] / len(bags)).astype(np.float32)
     g, given = gated.back(p, slope, memory)
     given = given.reshape(len(there), -1, len(owner)).transpose(0, 2, 1)[there]
-    at = (begin + np.arange(len(there))[:, None])[there]
-    by_word = np.zeros((len(features), given.shape[1]), np.float32)
-    np.add.at(by_word, at, given)
-    w = p["in"].reshape(given.shape[1], -1)
+    by_word = gated.summed(given, at[there], len(features))
     g["in"] = (by_word.T @ features).reshape(p["in"].shape)
     g["gate"] = by_word.sum(axis=0).reshape(p["gate"].shape)
-    inner = by_word @ w
-    g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-    np.add.at(g["word"], numbers, inner[:, :WIDE])
-    g["word"][0] = 0
+    inner = by_word @ p["in"].reshape(given.shape[1], -1)
+    g["word"] = gated.summed(inner[:, :WIDE], numbers, len(p["word"]))
     lengths = np.diff(np.r_[starts, len(grams)])
-    np.add.at(g["gram"], grams, np.repeat(inner[:, WIDE:] / np.maximum(1, lengths)[:, None], lengths, axis=0).astype(np.float32))
+    by_character = np.repeat(inner[:, WIDE:] / np.maximum(1, lengths)[:, None], lengths, axis=0)
+    g["gram"], g["stem"] = gated.summed(by_character, grams, len(p["gram"])), gated.summed(by_character, stems, len(p["stem"]))
+    g["word"][0] = g["stem"][0] = 0
     return g
 
 
@@ -281,7 +322,7 @@ def toxicity_struct(model: Model | None):
 def score_toxicity(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds `score` (0 to 1, of the worst window) and `predicted` (1 from 0.5 on).
 
-    A null or empty text, or one without a word, is scored as an empty window. Without a model, because a
+    A null or empty text, or one without a word, has the score of SILENT, 0.018. Without a model, because a
     class had no labelled text, every score is 0. Rows are independent: repeated rows repeat their score,
     columns named like the new ones are replaced, an empty table stays empty. Every window of a text is
     read, however long it is.
