@@ -81,7 +81,7 @@ def language_struct(dictionaries: dict[str, bytes]):
         made = packers(fixed)
         return pd.DataFrame([judged(t, made) for t in texts], columns=["lang_pred", "score", "margin"])
 
-    return text_column(named, SCHEMA)
+    return text_column(named, SCHEMA, packers.cache_clear)
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", least_margin: float = 0.0) -> DataFrame:

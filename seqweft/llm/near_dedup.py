@@ -1,7 +1,7 @@
 """Near-duplicate texts by an inverted join of signature coordinates.
 
 A text's word shingles make a set, its minima under several hashes a signature. Equal sets are one class
-from the start. A class is posted under coordinate and value; two classes whose signatures agree in `t` of
+from the start, which has a number of its own, so that it doesn't matter whether keys repeat. A class is posted under coordinate and value; two classes whose signatures agree in `t` of
 `K` coordinates share a posting among any `K - t + 1` of them, so only that many are posted, the rarest
 first, which skips long lists. Where classes meet, the collisions of their whole signatures are counted,
 and those with `t` or more belong to one candidate family. Within a family the full sets are compared
@@ -197,41 +197,45 @@ def candidate_families(reps: DataFrame, least: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row.
+    """(key, n_shingles, component_id, kept, mix) for every row; `mix` is a hash of its text.
 
     Texts are linked where 100 times the intersection of their shingle sets is at least `percent` times the
     union; the component is named by its least key and that row is kept. Null, empty and blank texts have
     no shingles and no links: their component is their own key. Rows with a null key link nothing, get a
-    null component and are kept. Rows that repeat a key are judged by their own texts, and where two texts
-    have the same least key they are one document. Very long texts are hashed whole. The match threshold
+    null component and are kept. Keys are whole numbers. Rows that repeat a key are judged each by its own
+    text. Very long texts are hashed whole. The match threshold
     lies five standard deviations below a linked pair's expected collisions, so a pair at the limit is
     missed with a probability of about one in a million; `kept` follows from the links alone.
     """
     struct = features_struct(words)(F.col(text).cast("string"))
-    features = stored(df.select(F.col(key).cast("long").alias("key"), struct.alias("x")).select("key", "x.*"), "features")
+    mix = F.xxhash64(F.col(text).cast("string"))
+    features = stored(df.select(F.col(key).cast("long").alias("key"), mix.alias("mix"), struct.alias("x")).select("key", "mix", "x.*"), "features")
     known = features.where("n > 0 AND key IS NOT NULL")
-    classes = stored(known.groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
+    named = known.groupBy("d1", "d2").agg(F.min("key").alias("least"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    classes = stored(named.withColumn("rep", F.monotonically_increasing_id()), "classes")
     reps = classes.select("rep", "sig")
     family = stored(candidate_families(reps, least_matches(percent)), "family-members")
-    members = family.join(classes, family["node"] == classes["rep"]).select("component", "rep", "n", "d1", "d2")
+    members = family.join(classes, family["node"] == classes["rep"]).select("component", "rep", "least", "n", "d1", "d2")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     sizes = sizes.select("component", blocks.alias("blocks"))
-    wanted = members.select(F.col("rep").alias("key"), "component", "d1", "d2")
+    wanted = members.select(F.col("least").alias("key"), "rep", "component", "d1", "d2")
     full = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key IS NOT NULL")
     hashed = text_column(lambda texts: _hashed(texts, words), "hashes binary, d1 long, d2 long")
     texts = full.join(wanted.select("key").distinct(), "key", "left_semi")
     sets = texts.select("key", hashed(F.col("text")).alias("x")).select("key", "x.*").dropDuplicates(["key", "d1", "d2"])
-    compared = wanted.join(sets, ["key", "d1", "d2"]).join(sizes, "component").select("component", "blocks", F.col("key").alias("rep"), "hashes")
+    compared = wanted.join(sets, ["key", "d1", "d2"]).join(sizes, "component").select("component", "blocks", "rep", "hashes")
     links = in_blocks(compared, ["component"], "blocks", similar(percent), ["rep", "hashes"])
-    linked = components(links, "links")
-    named = classes.join(linked, classes["rep"] == linked["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    linked = components(links, "links").join(classes.select(F.col("rep").alias("node"), "least", "d1", "d2"), "node")
+    least = linked.groupBy("component").agg(F.min("least").alias("least"))
+    linked = linked.select("d1", "d2", "component").join(least, "component").select("d1", "d2", F.col("least").alias("linked"))
+    named = classes.select("d1", "d2", "least").join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("linked", "least").alias("component"))
     out = features.join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
     component = F.when(F.col("key").isNotNull(), component)
     return out.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"),
+        F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"), "mix",
     )
 
 
@@ -245,6 +249,10 @@ def _hashed(texts: list, words: int) -> pd.DataFrame:
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that are kept: one document of each group of near duplicates, and all rows without a key."""
-    judged = near_duplicates(df, key, text, words, percent).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return df.join(judged, df[key] == judged["_gone"], "left_anti")
+    """The rows that are kept: one document of each group of near duplicates, and all rows without a key.
+
+    A row goes for its own text, so another text under the same key stays if it is no duplicate.
+    """
+    judged = near_duplicates(df, key, text, words, percent).where("NOT kept").select(F.col(key).alias("_gone"), F.col("mix").alias("_mix")).distinct()
+    mix = F.xxhash64(df[text].cast("string"))
+    return df.join(judged, (df[key].cast("long") == judged["_gone"]) & mix.eqNullSafe(judged["_mix"]), "left_anti")

@@ -9,4 +9,4 @@ from seqweft.llm.registry import query
 
 @query("op1_minhash_near_dedup")
 def minhash_near_dedup(spark, sf):
-    return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).drop("mix")

@@ -4,7 +4,8 @@ A merge encoding has one last token for every prefix of a text. Going through th
 gives all pieces that end at a position; the last token is the one piece whose pair with the last token
 of what stands before it is stable, that is, encodes to itself. The ids are then read off backwards.
 Texts are cut where no piece can cross (before a space mark, around characters outside the vocabulary),
-and the ids of such segments are remembered in a cache of bounded size (two generations of `CACHED` segments).
+and the ids of such segments are remembered in a cache of bounded size (two generations of `CACHED` segments of at
+most 64 characters), which is emptied after every task.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from seqweft.llm.common import text_column, with_struct
 
 SPACE = "▁"
-CACHED = 150_000
-PAIRS = 200_000
+CACHED = 60_000
+PAIRS = 100_000
 SCHEMA = "ids binary, decoded string"
 # Kinds of pieces in the model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -117,7 +118,8 @@ class Pieces:
         out = [self.packed([self.begin])]
         if text:
             recent, older = self.recent, self.older
-            for s in self.cut.findall(self.prefix + text.replace(" ", SPACE)):
+            for found in self.cut.finditer(self.prefix + text.replace(" ", SPACE)):
+                s = found.group()
                 ids = recent.get(s)
                 if ids is None:
                     ids = older.get(s) or self.packed(self.segment(s))
@@ -161,6 +163,22 @@ def token_struct(path: str):
     return text_column(coded, SCHEMA, lambda: model(path).forget())
 
 
+def checked_struct(path: str):
+    """Ids, and whether they decode to the text; the decoded text stays in the worker."""
+
+    def coded(texts):
+        pieces = model(path)
+        ids = [pieces.encode(t or "") for t in texts]
+        return pd.DataFrame({"ids": ids, "exact": [pieces.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]})
+
+    return text_column(coded, "ids binary, exact boolean", lambda: model(path).forget())
+
+
+def encode_checked(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Adds `ids` as `encode_decode` does, and `exact`: whether they decode to the text (a null one counts as empty)."""
+    return with_struct(df, checked_struct(path)(F.col(text).cast("string")), ["ids", "exact"])
+
+
 def encode_decode(df: DataFrame, path: str, text: Column | str = "text") -> DataFrame:
     """Adds `ids` (little-endian unsigned 32-bit integers, begin and end included) and `decoded`.
 

@@ -79,6 +79,24 @@ def test_nulls_repeats_and_foreign_columns(spark):
     assert got == sorted([(None, 3, None, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (2, 2, 2, True), (3, 0, 3, True)], key=str)
 
 
+def test_one_id_on_two_texts_with_common_long_lists(spark):
+    """Both texts of the id stand in lists of more than LONG classes; each is judged by itself."""
+    rng = random.Random(9)
+    base, alone = words(rng, 120), words(rng, 90)
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"y{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(0, " ".join([*base[:100], "other", *base[101:]])), (40, " ".join(alone)), (50, " ".join(base)), (50, " ".join(base))]
+    df = docs(spark, [(i, t, None, None) for i, t in rows])
+    got = near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, 40 if t == " ".join(alone) else 0) for i, t in rows)
+    kept = one_of_each(df, words=3, percent=85)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[90], (40, " ".join(alone))])
+
+
 def test_empty_table_and_one_of_each(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
     text = " ".join(f"w{i}" for i in range(40))

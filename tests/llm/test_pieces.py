@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from seqweft.llm.pieces import encode_decode, ids_array, model
+from seqweft.llm.pieces import encode_checked, encode_decode, ids_array, model
 from seqweft.llm.token_queries import model_path, sentencepiece_round_trip
 from tests.llm.helpers import docs
 
@@ -60,3 +60,11 @@ def test_query_equals_the_library(spark, library):
         ids = library.encode(r.text or "", add_bos=True, add_eos=True)
         want = len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
         assert got[r.doc_id] == want
+
+
+def test_checked_ids_are_the_same(spark):
+    texts = [None, "", "plain words", "  two  spaces\n", "日本 naïve ▁ mark", "a" * 3000]
+    df = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    plain = {r.doc_id: r for r in encode_decode(df, model_path()).collect()}
+    for r in encode_checked(df, model_path()).collect():
+        assert r.ids == plain[r.doc_id].ids and r.exact == (plain[r.doc_id].decoded == (texts[r.doc_id] or ""))

@@ -37,7 +37,7 @@ def test_stages_take_empty_and_odd_tables(spark):
     sf = scratch_path(spark, "odd")
     spark.createDataFrame([(1, None), (None, "x y z")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     good = "plain words of a text that says nothing of note but goes on for a while " * 3
-    for rows in ([], [(None, None, None, None), (1, "", None, None), (2, good, "en", None), (2, good, "en", None), (3, "x", None, "s")]):
+    for rows in ([], [(None, None, None, None), (1, "", None, None), (2, good, "en", None), (2, good, "en", None), (2, good + good[:40], "en", "t"), (3, "x", None, "s")]):
         frame = docs(spark, rows)
         for _, stage in pipeline.STAGES:
             frame = stage(spark, frame, sf)
@@ -45,6 +45,6 @@ def test_stages_take_empty_and_odd_tables(spark):
 
 
 def test_all_queries_are_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
