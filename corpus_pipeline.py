@@ -16,7 +16,7 @@ from seqweft.llm.language_queries import LEAST_MARGIN
 from seqweft.llm.line_dedup import drop_boilerplate
 from seqweft.llm.line_queries import SITES
 from seqweft.llm.near_dedup import one_of_each
-from seqweft.llm.pieces import encode_decode
+from seqweft.llm.pieces import encode_checked
 from seqweft.llm.token_queries import model_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,9 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, packed as little-endian unsigned 32-bit integers, and whether they decode to it."""
-    coded = encode_decode(docs, model_path())
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
+    coded = encode_checked(docs, model_path())
+    return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("exact").alias("round_trip"))
 
 
 STAGES = [
