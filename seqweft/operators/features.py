@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweft.functions.channels import to_long
 from seqweft.functions.expressions import sample_kurtosis, sample_skew
 from seqweft.functions.kernels import BANDS, SAMPLING_HZ, amplitude, band_energy, wavelet_energy
-from seqweft.operators.ordered import IS_HOT, exact_quantiles, has_hot_key, slice_columns
+from seqweft.operators.ordered import IS_HOT, slice_columns
+from seqweft.operators.quantiles import channel_quantiles
 from seqweft.operators.spectrum import long_amplitudes
 
 ZERO = 0.0
@@ -145,30 +145,19 @@ STATISTICS = ("mean", "std", "min", "max", "median", "q25", "q75", "range", "ske
 def channel_statistics(
     df: DataFrame, keys: Sequence[str], channels: Sequence[str], statistics: Sequence[str] = STATISTICS
 ) -> DataFrame:
-    """Statistics per key and channel in long form, so that hundreds of channels make no wide aggregate.
-
-    Moments come from one map-side combined aggregate; quantiles from counted values.
-    """
-    keys = list(keys)
-    long = to_long(df, keys, channels)
-    by = [*keys, "channel"]
-    v = F.col("value")
-    exprs = {
-        "mean": F.avg(v),
-        "std": F.stddev_samp(v),
-        "min": F.min(v),
-        "max": F.max(v),
-        "range": F.max(v) - F.min(v),
-        "skew": sample_skew(v),
-        "kurtosis": sample_kurtosis(v),
+    """Statistics per key and channel in long form; moments and quantiles come from the same scan."""
+    moments = {
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "max": F.max,
+        "range": lambda v: F.max(v) - F.min(v),
+        "skew": sample_skew,
+        "kurtosis": sample_kurtosis,
     }
-    out = long.groupBy(*by).agg(*[e.alias(n) for n, e in exprs.items() if n in statistics])
     probs = {n: p for n, p in {"median": 0.5, "q25": 0.25, "q75": 0.75}.items() if n in statistics}
-    if probs:
-        # a channel has at most as many rows under a key as the key itself
-        middle = exact_quantiles(long, by, "value", probs, hot=has_hot_key(df, keys))
-        out = out.join(middle, by, "left")
-    return out.select(*by, *statistics)
+    got = channel_quantiles(df, keys, channels, probs, {n: m for n, m in moments.items() if n in statistics})
+    return got.select(*keys, "channel", *statistics)
 
 
 def spread_statistics(

@@ -90,6 +90,13 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence
     return df.select("*", row.alias("_row")).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
+def _by_slice(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join with a table of one row per slice; a null key is a key like any other."""
+    named = small.withColumnsRenamed({k: f"_k_{k}" for k in by})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) if k not in SLICES and df.schema[k].nullable else F.col(k) == F.col(f"_k_{k}") for k in by]
+    return df.join(named, all_of(same), "left").drop(*[f"_k_{k}" for k in by])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back: a cut in the lineage that outlives executors."""
     path = scratch_path(df.sparkSession, name)
@@ -187,7 +194,7 @@ def with_positions(
         F.coalesce(F.sum("_inside").over(before), F.lit(0)).alias("_offset"),
         F.sum("_inside").over(whole).alias("_total"),
     )
-    out = out.join(offsets, by, "left")
+    out = _by_slice(out, offsets, by)
     cols = [*df.columns, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_rank")).cast("long").alias(pos)]
     if length:
         cols.append(F.coalesce(F.col("_total"), F.col("_size")).cast("long").alias(length))
@@ -224,7 +231,8 @@ def exact_quantiles(
             aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
         aggs.append(F.max(target - lower).alias(f"_f{i}"))
         low, high = F.col(f"_a{i}"), F.coalesce(F.col(f"_b{i}"), F.col(f"_a{i}"))
-        final.append((low + (high - low) * F.col(f"_f{i}")).alias(name))
+        share = F.col(f"_f{i}")
+        final.append(F.when(share == 0, low).otherwise(low + (high - low) * share).alias(name))
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, *final)
 
 
@@ -281,7 +289,7 @@ def nearest_known(
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in channels],
         *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in channels],
     )
-    return out.join(carried, by, "left").select(
+    return _by_slice(out, carried, by).select(
         *columns,
         *[F.coalesce(f"_prev_{c}", f"_before_{c}").alias(f"_prev_{c}") for c in channels],
         *[F.coalesce(f"_next_{c}", f"_after_{c}").alias(f"_next_{c}") for c in channels],
@@ -310,7 +318,7 @@ def with_lag(
     slices = Window.partitionBy(*keys).orderBy(*SLICES)
     carried = edges.select(*by, "_start", F.lag("_last").over(slices).alias("_edge"))
     first = F.coalesce(F.col(pos) == F.col("_start"), F.lit(False))
-    return out.join(carried, by, "left").select(
+    return _by_slice(out, carried, by).select(
         *columns,
         *[F.when(first, F.col("_edge")[c]).otherwise(F.col(f"_lag_{c}")).alias(f"_lag_{c}") for c in channels],
     )
@@ -361,7 +369,7 @@ def running(
     tops = sliced.where(IS_HOT).groupBy(*by).agg(combine(value).alias("_top"))
     _, before, _ = _slice_frames(keys)
     carried = tops.select(*by, combine("_top").over(before).alias("_carried"))
-    return out.join(carried, by, "left").select(*df.columns, pick(name, "_carried").alias(name))
+    return _by_slice(out, carried, by).select(*df.columns, pick(name, "_carried").alias(name))
 
 
 def salted_join(

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
 from seqweft.functions.expressions import finite, pearson
-from seqweft.operators.ordered import exact_quantiles, has_hot_key, salted_join
+from seqweft.operators.ordered import salted_join, stored
+from seqweft.operators.quantiles import WIDE, channel_quantiles
 
 WIDE_PAIRS = 300  # above this many channel pairs, correlations go through partial product sums
 
@@ -76,16 +77,28 @@ def missingness(df: DataFrame, families: dict[str, Sequence[str]], sentinel: flo
 
 def outliers(df: DataFrame, channels: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Values outside the quartiles by more than `reach` quartile ranges, per channel."""
-    long = to_long(df, [], channels).where(F.col("value").isNotNull())
-    hot = has_hot_key(df, [])
-    fences = exact_quantiles(long, ["channel"], "value", {"q1": 0.25, "q3": 0.75}, hot=hot)
-    # one row per channel
-    held = long.join(F.broadcast(fences), "channel")
+    fences = channel_quantiles(df, [], channels, {"q1": 0.25, "q3": 0.75})
+    outside = _outside(F.col("value"), reach)
+    if len(channels) > WIDE:
+        # one row per channel
+        held = to_long(df, [], channels).where(F.col("value").isNotNull()).join(F.broadcast(fences), "channel")
+        return held.groupBy("channel").agg(F.count_if(outside).alias("outliers"), F.avg(outside.cast("double")).alias("share"))
+    # As one row, which every task gets: the table is then read once more and nothing but counts is moved.
+    row = stored(fences.groupBy().pivot("channel", list(channels)).agg(F.first(F.struct("q1", "q3"))), "fences")
+    counts = []
+    for c in channels:
+        box = row.select(F.col(f"`{c}`")).scalar()
+        v = F.col(c).cast("double")
+        room = (box["q3"] - box["q1"]) * reach
+        counts += [F.count_if((v < box["q1"] - room) | (v > box["q3"] + room)).alias(f"_o_{c}"), F.count(v).alias(f"_n_{c}")]
+    cells = [F.struct(F.lit(c).alias("channel"), F.col(f"_o_{c}").alias("outliers"), F.col(f"_n_{c}").alias("n")) for c in channels]
+    got = df.agg(*counts).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*").where("n > 0")
+    return got.select("channel", "outliers", (F.col("outliers") / F.col("n")).alias("share"))
+
+
+def _outside(v: Column, reach: float) -> Column:
     room = (F.col("q3") - F.col("q1")) * reach
-    outside = (F.col("value") < F.col("q1") - room) | (F.col("value") > F.col("q3") + room)
-    return held.groupBy("channel").agg(
-        F.count_if(outside).alias("outliers"), F.avg(outside.cast("double")).alias("share")
-    )
+    return (v < F.col("q1") - room) | (v > F.col("q3") + room)
 
 
 def simultaneous_missing(df: DataFrame, families: dict[str, Sequence[str]], by: Sequence[str] = ()) -> DataFrame:
@@ -150,7 +163,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
 def box_numbers(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, and whiskers at the outermost values within `reach` quartile ranges of the box."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    boxes = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    boxes = channel_quantiles(df, by, [value], {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("channel").where("q1 IS NOT NULL")
     if by:
         joined = salted_join(counts, boxes, by, [value], "inner")
     else:
@@ -176,7 +189,7 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     moments = df.groupBy(*by).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    middle = exact_quantiles(df, by, value, DESCRIBE)
+    middle = channel_quantiles(df, by, [value], DESCRIBE).drop("channel")
     if by:
         return moments.join(middle, list(by), "left")
     row = middle.select(F.struct(*DESCRIBE).alias("_m")).scalar()
