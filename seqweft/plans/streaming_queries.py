@@ -85,24 +85,56 @@ def summaries_of_arriving_sequences(spark, sf):
     return spark.read.parquet(answers).drop("batch")
 
 
-def _windows_from_pieces(spark, sf, width, stride):
-    """Each sequence comes in two pieces in different files; every window is emitted once."""
-    source, out = scratch_path(spark, "pieces"), scratch_path(spark, "stream-windows")
-    readings = events(spark, sf).select(
-        "user_id", "pos", "value", (F.col("pos") == F.col("seq_len") - 1).alias("is_last")
-    )
-    early = F.col("pos") < 45
-    write_parquet(readings.where(early).repartition(2, "user_id"), source)
-    write_parquet(readings.where(~early).repartition(2, "user_id"), source, mode="append")
-    # a session of its own holds the state store's setting, so that no other stream takes it
+def _stateful(spark, source):
+    """The files of a folder as a stream, in a session of its own, which holds the state store's setting."""
     own = spark.newSession()
     own.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     schema = spark.read.parquet(source).schema
-    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    made = stream_windows(stream, EVENT_KEYS, "value", width, stride)
+    return own.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+
+
+def _pieces(spark, sf) -> str:
+    """Sequences in two pieces in different files."""
+    source = scratch_path(spark, "pieces")
+    readings = events(spark, sf).select(
+        "user_id", "pos", "value", (F.col("pos") == F.col("seq_len") - 1).alias("is_last")
+    )
+    early = F.col("pos") < 45
+    write_parquet(readings.where(early).repartition(2, "user_id"), source)
+    write_parquet(readings.where(~early).repartition(2, "user_id"), source, mode="append")
+    return source
+
+
+def _scattered(spark, sf) -> str:
+    """Sequences whose later rows come first, some twice, and of which every third never says that it has ended.
+
+    A row of another source, long after all others, comes last and lets event time go on.
+    """
+    source = scratch_path(spark, "scattered")
+    last = (F.col("pos") == F.col("seq_len") - 1) & (F.col("user_id") % 3 != 0)
+    readings = events(spark, sf).select("user_id", "pos", "value", last.alias("is_last"), "ts")
+    thirds = [F.col("pos") >= 50, F.col("pos") < 20, (F.col("pos") >= 15) & (F.col("pos") < 52)]
+    for i, part in enumerate(thirds):
+        write_parquet(readings.where(part).repartition(2, "user_id"), source, mode="append" if i else "errorifexists")
+    after = readings.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("user_id"), F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("value"), F.lit(True).alias("is_last"),
+        (F.col("ts") + F.expr("INTERVAL 90 DAYS")).cast(readings.schema["ts"].dataType).alias("ts"),
+    )
+    write_parquet(after.coalesce(1), source, mode="append")
+    return source
+
+
+PATIENCE = 3_600_000
+DELAY = "60 days"
+
+
+def _windows_from_pieces(spark, source, width, stride, **clock):
+    """Every window is emitted once, whatever the pieces its rows come in."""
+    out = scratch_path(spark, "stream-windows")
+    made = stream_windows(_stateful(spark, source), EVENT_KEYS, "value", width, stride, **clock)
     writer = made.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", out).option("checkpointLocation", scratch_path(spark, "progress"))
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -115,7 +147,7 @@ def _windows_from_pieces(spark, sf, width, stride):
     SELECT user_id, start_idx, padded, value FROM w""",
 )
 def windows_from_pieces(spark, sf):
-    return _windows_from_pieces(spark, sf, 32, 16)
+    return _windows_from_pieces(spark, _pieces(spark, sf), 32, 16)
 
 
 @query(
@@ -125,7 +157,17 @@ def windows_from_pieces(spark, sf):
 )
 def windows_apart(spark, sf):
     """A stride beyond the width: rows between two windows are skipped, also across pieces."""
-    return _windows_from_pieces(spark, sf, 12, 20)
+    return _windows_from_pieces(spark, _pieces(spark, sf), 12, 20)
+
+
+@query(
+    "st2_windows_out_of_order",
+    f"""WITH {EVENTS_SQL}, {windows_sql('ev', 'user_id', ['value'], 66, 33, 10, 'w')}
+    SELECT user_id, start_idx, padded, value FROM w""",
+)
+def windows_out_of_order(spark, sf):
+    """Pieces out of order, repeated rows, and sequences that never end, which a timer pads."""
+    return _windows_from_pieces(spark, _scattered(spark, sf), 66, 33, time="ts", patience=PATIENCE, delay=DELAY)
 
 
 def _forward_mean(frame: pd.DataFrame) -> pd.DataFrame:

@@ -8,48 +8,49 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
+from seqweft.streaming.arrivals import InOrder, arriving
 
-class WindowCutter(StatefulProcessor):
+
+class WindowCutter(InOrder):
     """Keeps the rows that later windows still need, fewer than a width per sequence, and emits each full
     window once; with a stride beyond the width it also keeps how many coming rows lie between windows. A
-    sequence shorter than the width gives its padded window when its last row comes."""
+    sequence shorter than the width gives its padded window when it ends."""
 
-    def __init__(self, width: int, stride: int, channel: str, min_length: int, padding: float, keys: Sequence[str], ttl: int | None = None):
-        self.width, self.stride, self.channel = width, stride, channel
-        self.min_length, self.padding, self.keys, self.ttl = min_length, padding, list(keys), ttl
+    def __init__(self, width: int, stride: int, channel: str, min_length: int, padding: float, keys: Sequence[str], patience: int | None = None):
+        super().__init__([channel], keys, patience)
+        self.width, self.stride, self.min_length, self.padding = width, stride, min_length, padding
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "base long, skip long, held array<double>", self.ttl)
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "base long, skip long, held array<double>")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows)).sort_values("pos")
+    def rest(self) -> tuple[int, int, np.ndarray]:
         base, skip, held = self.kept.get() if self.kept.exists() else (0, 0, [])
-        new = came[self.channel].to_numpy(dtype="float64")
-        values = np.concatenate([np.asarray(held, dtype="float64"), new[skip:]])
-        skip = max(0, skip - len(new))
+        return int(base), int(skip), np.asarray(held, "float64")
+
+    def take(self, key: Any, first: int, values: np.ndarray) -> Iterator[pd.DataFrame]:
+        base, skip, held = self.rest()
+        new = values[:, 0]
+        values, skip = np.concatenate([held, new[skip:]]), max(0, skip - len(new))
         out = []
         while len(values) >= self.width:
             out.append((base, False, values[: self.width]))
             skip = max(0, self.stride - len(values))
             values, base = values[self.stride :], base + self.stride
-        ended = bool(came["is_last"].any())
-        if ended and base == 0 and self.min_length <= len(values):
+        self.kept.update((base, skip, values.tolist()))
+        return self.named(key, out, ["start_idx", "padded", *self.channels])
+
+    def finish(self, key: Any) -> Iterator[pd.DataFrame]:
+        base, _, values = self.rest()
+        out = []
+        if base == 0 and self.min_length <= len(values):
             out.append((0, True, np.pad(values, (0, self.width - len(values)), constant_values=self.padding)))
-        if ended:
-            self.kept.clear()
-        else:
-            self.kept.update((int(base), int(skip), [float(v) for v in values]))
-        if out:
-            frame = pd.DataFrame(out, columns=["start_idx", "padded", self.channel])
-            for name, value in zip(self.keys, key):
-                frame[name] = value
-            yield frame[[*self.keys, "start_idx", "padded", self.channel]]
+        return self.named(key, out, ["start_idx", "padded", *self.channels])
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.kept.clear()
 
 
 def stream_windows(
@@ -60,18 +61,16 @@ def stream_windows(
     stride: int,
     min_length: int = 10,
     padding: float = 0.0,
-    ttl: int | None = None,
+    time: str | None = None,
+    patience: int | None = None,
+    delay: str = "0 seconds",
 ) -> DataFrame:
     """Windows of a stream with columns keys, pos, the channel and `is_last` (true on a sequence's last row).
 
-    Rows of a sequence must arrive in order from one micro-batch to the next; within one they may be mixed.
-    `ttl` milliseconds after its last row, a sequence that never ended is forgotten.
+    Rows may come in any order and more than once; a window is emitted when all its rows are there. With
+    an event `time`, a sequence of which nothing has come for `patience` milliseconds has ended: a short one
+    then gives its padded window, and rows behind a gap follow on directly. Rows of an ended sequence are
+    ignored until its mark goes with the timer; without a `time` there is no mark.
     """
-    key_types = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
-    rows = stream.select(*keys, "pos", F.col(channel).cast("double").alias(channel), "is_last")
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        WindowCutter(width, stride, channel, min_length, padding, keys, ttl),
-        outputStructType=f"{key_types}, start_idx long, padded boolean, {channel} array<double>",
-        outputMode="Append",
-        timeMode="None" if ttl is None else "ProcessingTime",
-    )
+    processor = WindowCutter(width, stride, channel, min_length, padding, keys, patience if time else None)
+    return arriving(stream, processor, keys, [channel], f"start_idx long, padded boolean, {channel} array<double>", time, delay)
