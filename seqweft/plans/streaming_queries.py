@@ -7,17 +7,21 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from seqweft.functions.attributes import DEFAULTS
 from seqweft.operators import evaluate as ev
 from seqweft.operators import features as feat
 from seqweft.operators import models, user
 from seqweft.operators.ordered import with_positions
+from seqweft.operators.transform import fit_scaler
 from seqweft.operators.windows import sliding_windows
 from seqweft.plans.adapters import EVENT_KEYS, EVENTS_SQL, events, table
 from seqweft.plans.registry import query
 from seqweft.plans.window_queries import WINDOW_ID, WINDOWS_SQL, event_windows, windows_sql
 from seqweft.session import scratch_path
 from seqweft.sources.writers import write_parquet
+from seqweft.streaming.arrivals import whole_sequences
 from seqweft.streaming.scoring import score_arrivals
+from seqweft.streaming.serving import Serving, publish_attributes, serve
 from seqweft.streaming.windows import stream_windows
 
 WINDOW_FEATURES = ["value_mean", "value_std_pop", "value_range", "value_rms"]
@@ -160,6 +164,52 @@ def windows_apart(spark, sf):
     return _windows_from_pieces(spark, _pieces(spark, sf), 12, 20)
 
 
+def _taller_needs_more(scaled, attributes):
+    """A fixed rule: a window speaks for `high` if its mean exceeds a limit that rises with the subject's height."""
+    windows = sliding_windows(scaled, EVENT_KEYS, ["value"], (64, 16), min_length=0)
+    means = windows.select("user_id", (F.aggregate("value", F.lit(0.0), lambda a, x: a + x) / 64).alias("mean"))
+    high = F.when(F.col("mean") > (F.col("height_cm") - 170) / 100, 1.0).otherwise(0.0)
+    each = F.array(F.struct(F.lit("high").alias("class"), high.alias("probability")), F.struct(F.lit("low").alias("class"), (1 - high).alias("probability")))
+    long = means.join(attributes.select("user_id", "height_cm"), "user_id").select("user_id", F.explode(each).alias("c"))
+    return ev.vote(long.select("user_id", "c.*"), EVENT_KEYS)
+
+
+def serving_of(spark, sf) -> Serving:
+    """Attributes in two versions, of which the newer holds, for three subjects of four; the rest take the defaults."""
+    attributes, scaler = scratch_path(spark, "attributes"), scratch_path(spark, "scaler")
+    known = _heights(spark, sf)
+    publish_attributes(known.withColumn("height_cm", F.col("height_cm") - 60), attributes, 1)
+    publish_attributes(known, attributes, 2)
+    write_parquet(fit_scaler(table(spark, sf, "events"), ["value"]), scaler)
+    return Serving(EVENT_KEYS, "user_id", ["value"], attributes, scaler, _taller_needs_more, ["high", "low"])
+
+
+def _heights(spark, sf):
+    customers = table(spark, sf, "customer").where("c_custkey % 4 <> 0")
+    others = [F.lit(v).alias(c) for c, v in DEFAULTS.items() if c != "height_cm"]
+    return customers.select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") / 100 + 120).alias("height_cm"), *others)
+
+
+@query(
+    "st1_served_sequences",
+    f"""WITH {EVENTS_SQL}, m AS (SELECT avg(coalesce(value, 0)) AS a, stddev_pop(coalesce(value, 0)) AS s FROM events),
+    sc AS (SELECT user_id, pos, seq_len, (coalesce(value, 0) - a) / s AS value FROM ev, m),
+    {windows_sql('sc', 'user_id', ['value'], 64, 16, -1, 'w')},
+    p AS (SELECT user_id, avg(CASE WHEN list_sum(value) / 64 > (coalesce(c_acctbal / 100 + 120, 170.0) - 170) / 100 THEN 1.0 ELSE 0.0 END) AS p
+      FROM w LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 4 <> 0 GROUP BY user_id)
+    SELECT user_id, CASE WHEN p >= 0.5 THEN 'high' ELSE 'low' END AS class, round(greatest(p, 1 - p), 9) AS confidence FROM p""",
+)
+def served_sequences(spark, sf):
+    """Pieces out of order are gathered until a sequence ends, then joined, scaled, answered and checked."""
+    serving, answers = serving_of(spark, sf), scratch_path(spark, "served")
+    stream = _stateful(spark, _scattered(spark, sf))
+    whole = whole_sequences(stream, EVENT_KEYS, ["value"], time="ts", patience=PATIENCE, delay=DELAY)
+    serve(whole.where("user_id >= 0"), serving, answers, scratch_path(spark, "progress")).awaitTermination()
+    wrong = spark.read.parquet(f"{answers}/violations")
+    got = spark.read.parquet(f"{answers}/answers").join(wrong, "user_id", "left_anti")
+    return got.select("user_id", "class", F.round("confidence", 9).alias("confidence"))
+
+
 @query(
     "st2_windows_out_of_order",
     f"""WITH {EVENTS_SQL}, {windows_sql('ev', 'user_id', ['value'], 66, 33, 10, 'w')}
