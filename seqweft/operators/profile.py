@@ -101,6 +101,16 @@ def _outside(v: Column, reach: float) -> Column:
     return (v < F.col("q1") - room) | (v > F.col("q3") + room)
 
 
+def missingness_report(df: DataFrame, families: dict[str, Sequence[str]], sentinel: float = -1.0, reach: float = 1.5) -> DataFrame:
+    """`missingness` of every channel with its outliers and their share, and the most channels of its family missing at once."""
+    channels = [c for cs in families.values() for c in cs]
+    beside = outliers(df, channels, reach).withColumnRenamed("share", "outlier_share")
+    family = simultaneous_missing(df, families).select("family", "most_at_once")
+    # one row per channel and per family
+    joined = missingness(df, families, sentinel).join(F.broadcast(beside), "channel", "left")
+    return joined.join(F.broadcast(family), "family").withColumn("outliers", F.coalesce("outliers", F.lit(0).cast("long")))
+
+
 def simultaneous_missing(df: DataFrame, families: dict[str, Sequence[str]], by: Sequence[str] = ()) -> DataFrame:
     """Rows with any missing channel and the largest number missing at once, per family."""
     counts = {f: sum((F.col(c).isNull().cast("int") for c in cs), F.lit(0)) for f, cs in families.items()}

@@ -148,6 +148,26 @@ def missingness_by_family(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
+@query(
+    "a13_missingness_report",
+    f"""WITH {SENTINEL_SQL}, g AS (SELECT k, value, CASE WHEN value = -1 THEN NULL ELSE value END AS gappy FROM sen),
+    u AS (SELECT 'tof' AS family, 'k' AS channel, k AS v FROM g UNION ALL SELECT 'tof', 'value', value FROM g UNION ALL SELECT 'thm', 'gappy', gappy FROM g),
+    q AS (SELECT channel AS c, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM u GROUP BY channel),
+    f AS (SELECT 'tof' AS fam, max(CASE WHEN k IS NULL THEN 1 ELSE 0 END + CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS most FROM g
+      UNION ALL SELECT 'thm', max(CASE WHEN gappy IS NULL THEN 1 ELSE 0 END) FROM g),
+    o AS (SELECT *, v < q1 - 0.5 * (q3 - q1) OR v > q3 + 0.5 * (q3 - q1) AS beyond FROM u JOIN q ON c = channel)
+    SELECT family, channel, count(*) AS rows, count(*) FILTER (WHERE v IS NULL) AS nulls, count(*) FILTER (WHERE v = -1) AS sentinels,
+           count(*) FILTER (WHERE v = 0) AS zeros, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
+           count(*) FILTER (WHERE beyond) AS outliers, round(count(*) FILTER (WHERE beyond) / count(v), 9) AS outlier_share,
+           CAST(any_value(most) AS INTEGER) AS most_at_once
+    FROM o JOIN f ON fam = family GROUP BY family, channel""",
+)
+def missingness_report(spark, sf):
+    df = sentinel_events(spark, sf).withColumn("gappy", F.when(F.col("value") != -1, F.col("value")))
+    out = profile.missingness_report(df, {"tof": ["k", "value"], "thm": ["gappy"]}, reach=0.5)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")}).withColumn("outlier_share", F.round("outlier_share", 9))
+
+
 @query(
     "a13_most_missing_at_once",
     f"""WITH {GRID_SQL}, r AS (SELECT vec_id, CAST(sum(CASE WHEN value = -1 THEN 1 ELSE 0 END) AS INTEGER) AS m FROM gr GROUP BY vec_id)

@@ -28,6 +28,7 @@ from seqweft.plans.registry import query
 from seqweft.plans.window_queries import windows_sql
 from seqweft.session import scratch_path
 from seqweft.sources import readers, writers
+from seqweft.sources.predictions import read_predictions, write_predictions
 
 _EVENT_COLUMNS = "event_id, ts, user_id, event_type, value"
 
@@ -206,6 +207,15 @@ def prediction_sink(spark, sf):
     return readers.read_parquet(spark, path)
 
 
+@query("s11_checked_predictions", f"WITH {PREDICTIONS_SQL} SELECT sequence_id, CAST(guess AS VARCHAR) AS gesture FROM pr")
+def checked_predictions(spark, sf):
+    """Written in two phases: a wrong count, label or key would leave nothing to read."""
+    path = scratch_path(spark, "checked-predictions")
+    out = predictions(spark, sf).select("sequence_id", F.col("guess").cast("string").alias("gesture"))
+    write_predictions(out, path, "sequence_id", "gesture", [str(i) for i in range(10)], out.count())
+    return read_predictions(spark, path).drop("run")
+
+
 @query("s12_saved_transform")
 def saved_transform(spark, sf):
     """Scaler and projection fitted, saved, loaded again and applied."""
