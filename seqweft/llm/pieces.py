@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from seqweft.llm.common import text_column, with_struct
 
 SPACE = "▁"
-CACHED = 60_000
-PAIRS = 100_000
+CACHED = 150_000
+PAIRS = 200_000
 SCHEMA = "ids binary, decoded string"
 # Kinds of pieces in the model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
