@@ -33,14 +33,14 @@ def build_session(master: str | None = None, app: str = "seqweft", **extra: str)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors, unless they find it where the driver does.
+    """Sends the package to the executors, unless they are threads of this process that find it where it does.
 
     Functions that run in Python workers are sent by name, so the workers must be able to import them.
     """
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shared = home in map(os.path.abspath, [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))])
+    found = home in map(os.path.abspath, [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))])
     context = spark.sparkContext
-    if shared or getattr(context, "_seqweft_shipped", False):
+    if (found and one_process(context.master)) or getattr(context, "_seqweft_shipped", False):
         return spark
     folder = tempfile.mkdtemp(prefix="seqweft-package-")
     path = os.path.join(folder, "seqweft-package.zip")
@@ -54,6 +54,10 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def one_process(master: str) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
@@ -62,7 +66,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not one_process(spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="seqweft-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
