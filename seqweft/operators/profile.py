@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
 from seqweft.functions.expressions import finite, pearson
-from seqweft.operators.ordered import salted_join, stored
+from seqweft.operators.ordered import _attach, hot_row_limit, salted_join, stored
 from seqweft.operators.quantiles import WIDE, channel_quantiles
 
 WIDE_PAIRS = 300  # above this many channel pairs, correlations go through partial product sums
@@ -209,11 +209,12 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def correlations(df: DataFrame, channels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every pair of channels over rows where both are finite, both orientations.
 
-    Few channels become one native aggregate. Many go through partial product sums per task, which are
-    added up per pair: the shuffle carries one small matrix per task, never rows.
+    Few channels become one native aggregate. Many go through product sums, made a group at a time in each
+    task and added up per group and pair. Groups of few rows are brought together first, as their rows are
+    smaller than their sums; others stay where they are, and only their sums move.
     """
     pairs = list(combinations(channels, 2))
-    if len(pairs) <= WIDE_PAIRS or by:
+    if len(pairs) <= WIDE_PAIRS:
         row = df.groupBy(*by).agg(*[pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
         cells = [
             F.struct(F.lit(x).alias("channel_a"), F.lit(y).alias("channel_b"), F.col(f"_{i}").alias("r"))
@@ -221,42 +222,82 @@ def correlations(df: DataFrame, channels: Sequence[str], by: Sequence[str] = ())
             for x, y in ((a, b), (b, a))
         ]
         return row.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c.*")
-    return _product_sum_correlations(df, list(channels))
+    return _product_sum_correlations(df, list(channels), list(by))
 
 
-def _product_sum_correlations(df: DataFrame, channels: list[str]) -> DataFrame:
-    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    df = df.select(*[finite(F.col(c)).alias(c) for c in channels])
-    centre = df.agg(F.struct(*[F.avg(c).alias(c) for c in channels])).scalar()
-    values = df.select(F.array(*channels).alias("v"), centre.alias("m"))
-    values = values.select("v", F.array(*[F.col("m")[c] for c in channels]).alias("m"))
+SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+CONSTANT = 1e-13
+
+
+def _product_sum_correlations(df: DataFrame, channels: list[str], by: list[str]) -> DataFrame:
+    values = df.select(*by, *[finite(F.col(c)).alias(c) for c in channels])
+    # Centring on the overall means, one number per channel, keeps the products small.
+    means = values.agg(*[F.avg(c).alias(c) for c in channels]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    packed = values.select(*by, F.array(*channels).alias("_v"))
+    if by:
+        sizes = stored(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")), "group-sizes")
+        rows, groups = sizes.agg(F.sum("_rows"), F.count(F.lit(1))).first()
+        if groups and rows / groups < len(SUMS) * len(channels):
+            limit = hot_row_limit(df)
+            hot = sizes.where(F.col("_rows") > limit).select(*by, F.ceil(F.col("_rows") / F.lit(float(limit))).alias("_parts"))
+            hot = stored(hot, "hot-groups")
+            spread = F.coalesce(F.pmod(F.xxhash64("_v"), F.col("_parts")), F.lit(0))
+            packed = _attach(packed, hot, by, ["_parts"]).repartition(*by, spread).drop("_parts")
+        packed = packed.sortWithinPartitions(*by)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name != "_v"]
+    schema = ", ".join([*kinds, "i int", "j int", *[f"{n} double" for n in SUMS]])
+    sums = packed.mapInArrow(_product_sums(by, centre), schema)
+    added = sums.groupBy(*by, "i", "j").agg(*[F.sum(n).alias(n) for n in SUMS])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in SUMS)
+    # What rounding leaves of a constant channel's spread is none.
+    x, y = n * sxx - sx * sx, n * syy - sy * sy
+    varies = (x > CONSTANT * n * sxx) & (y > CONSTANT * n * syy)
+    r = F.try_divide(n * sxy - sx * sy, F.sqrt(F.when(varies, x * y)))
+    label = F.array(*[F.lit(c) for c in channels])
+    a, b = F.get(label, F.col("i")), F.get(label, F.col("j"))
+    both = [F.struct(x.alias("channel_a"), y.alias("channel_b"), F.col("_r").alias("r")) for x, y in ((a, b), (b, a))]
+    return added.withColumn("_r", r).select(*by, F.explode(F.array(*both)).alias("_c")).select(*by, "_c.*")
+
+
+def _product_sums(by: list[str], centre: np.ndarray):
+    """Sums over all pairs of channels i < j, for each run of rows of one group; a task holds one group's sums."""
+    i, j = np.triu_indices(len(centre), 1)
+
+    def sums(batches):
+        group, total, kinds = None, None, None
+
+        def done():
+            columns = [pa.array([k] * len(i), t) for k, t in zip(group, kinds, strict=True)]
+            columns += [pa.array(i.astype("int32")), pa.array(j.astype("int32")), *[pa.array(t[i, j]) for t in total]]
+            return pa.RecordBatch.from_arrays(columns, [*by, "i", "j", *SUMS])
 
-    def partial(batches):
-        total = None
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            # centring on the overall mean keeps the products small
-            x = np.array(batch["v"].tolist(), dtype="float64") - np.array(batch["m"].iloc[0], dtype="float64")
-            known = (~np.isnan(x)).astype("float64")
-            x = np.nan_to_num(x)
-            square = x * x
-            part = np.stack(
-                [known.T @ known, x.T @ known, known.T @ x, square.T @ known, known.T @ square, x.T @ x]
-            )
-            total = part if total is None else total + part
+            kinds = [batch.column(k).type for k in by]
+            keys = list(zip(*[batch.column(k).to_pylist() for k in by], strict=True)) if by else [()] * batch.num_rows
+            flat = batch.column("_v").flatten().to_numpy(zero_copy_only=False).astype("float64")
+            x = flat.reshape(batch.num_rows, -1) - centre
+            starts = [0, *[n for n in range(1, len(keys)) if keys[n] != keys[n - 1]], len(keys)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if group is not None and keys[a] != group:
+                    yield done()
+                    total = None
+                group = keys[a]
+                part = _gram(x[a:b])
+                total = part if total is None else total + part
         if total is not None:
-            i, j = np.indices(total.shape[1:])
-            off = i != j
-            yield pd.DataFrame({"i": i[off], "j": j[off], **{n: total[k][off] for k, n in enumerate(names)}})
-
-    sums = values.mapInPandas(partial, "i int, j int, " + ", ".join(f"{n} double" for n in names))
-    added = sums.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
-    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in names)
-    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    r = F.try_divide(n * sxy - sx * sy, F.sqrt(F.when(spread > 0, spread)))
-    label = F.array(*[F.lit(c) for c in channels])
-    return added.select(F.get(label, F.col("i")).alias("channel_a"), F.get(label, F.col("j")).alias("channel_b"), r.alias("r"))
+            yield done()
+
+    return sums
+
+
+def _gram(x: np.ndarray) -> np.ndarray:
+    known = (~np.isnan(x)).astype("float64")
+    x = np.nan_to_num(x)
+    square = x * x
+    return np.stack([known.T @ known, x.T @ known, known.T @ x, square.T @ known, known.T @ square, x.T @ x])
 
 
 def strong_pairs(corr: DataFrame, least: float = 0.8) -> DataFrame:

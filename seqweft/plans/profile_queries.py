@@ -505,6 +505,18 @@ def mean_length_by_label(spark, sf):
     return means.orderBy(F.desc("mean_length"), "event_type").limit(10)
 
 
+@query(
+    "a20_grouped_many_channels",
+    f"""WITH {GRID_SQL} SELECT a.label, 'tof_1_v' || a.pixel AS channel_a, 'tof_1_v' || b.pixel AS channel_b, round(corr(a.value, b.value), 8) AS r
+    FROM gr a JOIN gr b USING (vec_id) WHERE a.pixel <> b.pixel AND a.value <> -1 AND b.value <> -1 GROUP BY a.label, a.pixel, b.pixel""",
+)
+def grouped_many_channels(spark, sf):
+    """All pairs of 64 pixels within each label."""
+    df = grid(spark, sf)
+    pixels = [c for c in df.columns if c.startswith("tof_")]
+    return profile.correlations(clean.sentinel_to_null(df, pixels), pixels, ["label"]).withColumn("r", F.round("r", 8))
+
+
 @query(
     "a20_attribute_correlations",
     f"""WITH {SUBJECTS_SQL} SELECT 'age' AS channel_a, 'height_cm' AS channel_b, round(corr(age, height_cm), 9) AS r FROM sub

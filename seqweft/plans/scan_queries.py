@@ -150,6 +150,29 @@ def window_set_integrity(spark, sf):
     return readers.window_integrity(stored, ["l_suppkey", "start_idx"], LINE_CHANNELS[:2], ["l_returnflag"])
 
 
+@query(
+    "s8_wrong_width_and_attributes",
+    f"""WITH {LINES_SQL}, {_W64}, {_W128}, u AS (
+      SELECT 'w64_s16' AS window_config, 64 AS w, 64 AS cut, l_suppkey, start_idx, l_quantity FROM a
+      UNION ALL SELECT 'w128_s32', 128, 100, l_suppkey, start_idx, l_quantity[:100] FROM b
+      UNION ALL SELECT 'w64_more', 64, 64, l_suppkey, start_idx, l_quantity FROM a)
+    SELECT window_config, count(*) AS windows, CAST(min(len(l_quantity)) AS INTEGER) AS shortest, CAST(max(len(l_quantity)) AS INTEGER) AS longest,
+        1 AS channels, max(w) = max(cut) AND count(*) FILTER (WHERE window_config = 'w64_more' AND s_acctbal < 0) = 0 AS consistent
+    FROM u LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY window_config""",
+)
+def wrong_width_and_attributes(spark, sf):
+    """Sets held against their widths and attributes: one right, one short in every window, one without some attributes."""
+    sets = readers.read_windows(spark, _stored_windows(spark, sf)).drop("l_extendedprice")
+    more = sets.where("window_config = 'w64_s16'").withColumn("window_config", F.lit("w64_more"))
+    short = F.when(F.col("window_config") == "w128_s32", F.slice("l_quantity", 1, 100)).otherwise(F.col("l_quantity"))
+    attributes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    joined = sets.withColumn("l_quantity", short).unionByName(more).join(attributes, "l_suppkey", "left")
+    lost = (F.col("window_config") == "w64_more") & (F.col("s_acctbal") < 0)
+    joined = joined.withColumn("s_acctbal", F.when(~lost, F.col("s_acctbal")))
+    widths = {"w64_s16": 64, "w128_s32": 128, "w64_more": 64}
+    return readers.window_integrity(joined, ["l_suppkey", "start_idx"], ["l_quantity"], (), ["s_acctbal"], widths)
+
+
 @query("s8_broken_window_set", _integrity_sql("w = 128 AND l_suppkey % 5 = 0"))
 def broken_window_set(spark, sf):
     """A set in which every fifth supplier's wide windows lost a channel."""

@@ -88,12 +88,13 @@ def window_integrity(
     channels: Sequence[str],
     labels: Sequence[str] = (),
     attributes: Sequence[str] = (),
-    width: int | None = None,
+    width: int | dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per configuration: counts and array lengths that should agree, and whether they do.
 
-    Every window needs an array without nulls in every channel, all of one length (`width` if it is given),
-    every label and attribute, and a key of its own.
+    Every window needs an array without nulls in every channel, all of one length (`width` if it is given,
+    for all configurations or by name; one without a width isn't consistent), every label and attribute, and
+    a key of its own.
     """
     sizes = [F.coalesce(F.size(c), F.lit(-1)) for c in channels]
     low, high = (F.least(*sizes), F.greatest(*sizes)) if len(sizes) > 1 else (sizes[0], sizes[0])
@@ -117,7 +118,10 @@ def window_integrity(
         F.min(full).alias("_full"),
         *[F.max(F.col(f"_{c}") > 0).cast("int").alias(f"_seen_{c}") for c in channels],
     )
-    wanted = F.lit(width) if width is not None else F.col("longest")
+    wanted = F.col("longest") if width is None else F.lit(width)
+    if isinstance(width, dict):
+        wanted = F.element_at(F.create_map(*[F.lit(x) for pair in width.items() for x in pair]), F.col("window_config"))
+        wanted = F.coalesce(wanted, F.lit(-1))
     same = (F.col("shortest") == wanted) & (F.col("longest") == wanted) & F.col("_own_keys") & F.col("_full")
     for c in labels:
         same = same & (F.col(f"with_{c}") == F.col("windows"))

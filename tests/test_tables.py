@@ -274,3 +274,30 @@ def test_history_layouts(spark):
     (folder / "b.json").write_text(json.dumps({"run": "b", "loss": [1.5], "val_loss": [2.5]}, indent=1))
     rows = readers.read_histories(spark, str(folder)).orderBy("run", "epoch").collect()
     assert [tuple(r) for r in rows] == [("a", 1, 3.0, 4.0), ("a", 2, 2.0, 5.0), ("b", 1, 1.5, 2.5)]
+
+
+@pytest.mark.parametrize("groups,hot", [(3, None), (40, None), (40, "20")])
+def test_grouped_many_channel_correlations_match_pandas(spark, monkeypatch, groups, hot):
+    """Groups with many rows keep their rows where they are, small ones are brought together, hot ones cut."""
+    monkeypatch.setattr(profile, "WIDE_PAIRS", 0)
+    rng = np.random.default_rng(groups)
+    x = rng.normal(size=(1500, 5)) + 100
+    x[rng.random(x.shape) < 0.2] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcde"))
+    pdf["g"] = [None if g == 1 else str(g) for g in rng.integers(0, groups, len(pdf))]
+    pdf.loc[pdf.g == "2", "c"] = 99.0
+    df = readers.nan_to_null(spark.createDataFrame(pdf)).repartition(6)
+    if hot:
+        spark.conf.set("spark.seqweft.hotRows", hot)
+    try:
+        got = {(r.g, r.channel_a, r.channel_b): r.r for r in profile.correlations(df, list("abcde"), ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.seqweft.hotRows")
+    assert len(got) == groups * 20
+    for g, part in pdf.groupby("g", dropna=False):
+        want = part[list("abcde")].corr()
+        for a in "abcde":
+            for b in "abcde":
+                if a != b:
+                    r, w = got[g if isinstance(g, str) else None, a, b], want.loc[a, b]
+                    assert (r is None and (np.isnan(w) or "c" in (a, b))) or np.isclose(r, w)
