@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweft.functions.channels import to_long
-from seqweft.functions.expressions import hash_order
-from seqweft.operators.ordered import exact_quantiles, has_hot_key, salted_join, with_positions
+from seqweft.functions.expressions import finite, hash_order
+from seqweft.operators.ordered import exact_quantiles, has_hot_key, salted_join, stored, with_positions
+from seqweft.operators.user import apply_in_chunks
 
 
 def fit_scaler(df: DataFrame, channels: Sequence[str], null_as_zero: bool = False) -> DataFrame:
@@ -190,6 +193,73 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     return joined.groupBy(F.col("channel").alias("feature")).agg(F.sum(term).alias("mi_score"))
 
 
+def digamma(x: Column) -> Column:
+    """The digamma function of a positive number, to about twelve digits."""
+    x = x.cast("double")
+    y = x + 8
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8)
+    return series - sum((1 / (x + i) for i in range(1, 8)), 1 / x)
+
+
+def _reaches(k: int, by: list[str]):
+    """For a chunk of one feature's and label's values in order: between which values a row's neighbours lie."""
+
+    def reach(frame: pd.DataFrame) -> pd.DataFrame:
+        v, own = frame["value"].to_numpy(), np.flatnonzero(frame["own"])
+        near = np.minimum(k, frame["_n"].to_numpy()[own] - 1)
+        distance = np.full(len(own), np.inf)
+        low, high = np.empty(len(own)), np.empty(len(own))
+        for a in range(k + 1):  # so many of the nearest stand before the row, the others behind it
+            left, right = own - a, own + near - a
+            fits = (a <= near) & (left >= 0) & (right < len(v))
+            to_left, to_right = (v[own] - v[np.where(fits, left, 0)], v[np.where(fits, right, 0)] - v[own])
+            d = np.where(fits, np.maximum(to_left, to_right), np.inf)
+            better = d < distance
+            distance = np.where(better, d, distance)
+            # The end on which the farthest neighbour lies is that neighbour itself, untouched by rounding.
+            low = np.where(better, np.where(to_left == d, v[np.where(fits, left, 0)], v[own] - d), low)
+            high = np.where(better, np.where(to_right == d, v[np.where(fits, right, 0)], v[own] + d), high)
+        out = frame.iloc[own][[*by, "_n", "value"]].copy()
+        return out.assign(_k=near, _low=low, _high=high, _apart=distance > 0)
+
+    return reach
+
+
+def neighbour_information(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], k: int = 3) -> DataFrame:
+    """Mutual information between a label and each feature, in nats, by the distances to nearest neighbours.
+
+    A row's `k`-th nearest neighbour among its own label's values says how far to look, and the number of
+    all values closer than that how crowded it is there (itself included; at distance 0 the equal ones).
+    Both come from sorted values: neighbours from chunks with `k` rows beside them, counts from merging the
+    values with the ends of all rows' ranges. So neither a label nor a feature has to fit one task.
+    Labels with a single value of a feature are left out of it; `key` names a row. Never below 0.
+    """
+    key = list(key)
+    known = df.where(F.col(label).isNotNull()).select(label, *key, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+    # Written once, as it is read to be counted, ranked and looked up.
+    long = stored(known.select(label, *key, F.posexplode("_v").alias("_f", "value")), "feature-values")
+    long = long.where(finite(F.col("value")).isNotNull())
+    own = with_positions(long, ["_f", label], ["value", *key], length="_n").where("_n > 1")
+    names = ["_f", label, *key]
+    fields = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    schema = ", ".join([*[f"`{c}` {fields[c]}" for c in [*names, "_n", "value"]], "_k long, _low double, _high double, _apart boolean"])
+    reached = stored(apply_in_chunks(own, ["_f", label], _reaches(k, names), schema, before=k, after=k), "reaches")
+    # An end counts the values before it: those at a low end too, unless the equal ones themselves are meant.
+    first, second = F.lit(0), F.lit(2)
+    events = F.array(
+        F.struct(F.col("value").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("weight"), F.lit(0).alias("sign")),
+        F.struct(F.col("_low").alias("at"), F.when(F.col("_apart"), second).otherwise(first).alias("kind"), F.lit(0).alias("weight"), F.lit(-1).alias("sign")),
+        F.struct(F.col("_high").alias("at"), F.when(F.col("_apart"), first).otherwise(second).alias("kind"), F.lit(0).alias("weight"), F.lit(1).alias("sign")),
+    )
+    merged = reached.select(*names, "_n", "_k", F.explode(events).alias("_e")).select(*names, "_n", "_k", "_e.*")
+    counted = with_positions(merged, ["_f"], ["at", "kind"], pos="_before", weight="weight")
+    rows = counted.groupBy(*names).agg(F.sum(F.col("sign") * F.col("_before")).alias("_m"), F.first("_n").alias("_n"), F.first("_k").alias("_k"))
+    n = digamma(F.count(F.lit(1)))
+    score = n + F.avg(digamma(F.col("_k"))) - F.avg(digamma(F.col("_n"))) - F.avg(digamma(F.col("_m")))
+    name = F.element_at(F.array(*map(F.lit, features)), F.col("_f") + 1).alias("feature")
+    return rows.groupBy("_f").agg(F.greatest(score, F.lit(0.0)).alias("mi_score")).select(name, "mi_score")
+
+
 def top_features(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.orderBy(F.desc(score), "feature").limit(k)
 

@@ -222,6 +222,36 @@ def mutual_information(spark, sf):
     return out.select("feature", F.round("mi_score", 9).alias("mi_score"))
 
 
+def _psi(x: str) -> str:
+    y = f"({x} + 8.0)"
+    series = f"ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8)"
+    return f"({series} - (" + " + ".join(f"1.0 / ({x} + {i})" for i in range(8)) + "))"
+
+
+#: Left and right neighbours so many places away, the farther of both for every way to take three.
+_NEAR = [(f"l{a}" if a else "v", f"r{3 - a}" if a < 3 else "v") for a in range(4)]
+_NEIGHBOURS = f"""{_EMBEDDED.replace("SELECT label,", "SELECT vec_id, label,")},
+o AS (SELECT feature, label, vec_id, v, count(*) OVER (PARTITION BY feature, label) AS n,
+  {", ".join(f"lag(v, {i}) OVER w AS l{i}, lead(v, {i}) OVER w AS r{i}" for i in (1, 2, 3))}
+  FROM u WINDOW w AS (PARTITION BY feature, label ORDER BY v, vec_id)),
+d AS (SELECT *, {", ".join(f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN greatest(v - {a}, {b} - v) END AS d{i}" for i, (a, b) in enumerate(_NEAR))} FROM o),
+e AS (SELECT *, least({", ".join(f"coalesce(d{i}, 'inf'::DOUBLE)" for i in range(4))}) AS d FROM d),
+g AS (SELECT *, {", ".join(f"CASE {' '.join(f'WHEN d{i} = d THEN CASE WHEN abs(v - {p[side]}) = d THEN {p[side]} ELSE v {sign} d END' for i, p in enumerate(_NEAR))} END AS {name}" for side, sign, name in ((0, "-", "low"), (1, "+", "high")))} FROM e),
+m AS (SELECT g.feature, g.label, g.vec_id, any_value(g.n) AS n,
+  count(*) FILTER (WHERE CASE WHEN g.d > 0 THEN x.v > g.low AND x.v < g.high ELSE x.v = g.v END) AS m
+  FROM g JOIN u x ON x.feature = g.feature GROUP BY g.feature, g.label, g.vec_id)"""
+
+
+@query(
+    "m10_neighbour_information",
+    f"""WITH {_NEIGHBOURS} SELECT feature,
+      round(greatest(0, {_psi("count(*)")} + {_psi("3.0")} - avg({_psi("n")}) - avg({_psi("m")})), 8) AS mi_score FROM m GROUP BY feature""",
+)
+def neighbour_information(spark, sf):
+    out = tf.neighbour_information(feature_table(spark, sf), FEATURES, "label", ["vec_id"])
+    return out.select("feature", F.round("mi_score", 8).alias("mi_score"))
+
+
 def _forest_importance(spark, sf):
     df = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(feature_table(spark, sf))
     model = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=20, maxDepth=5, seed=42).fit(df)
