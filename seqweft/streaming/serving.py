@@ -56,9 +56,15 @@ def pinned_version(spark: SparkSession, serving: Serving, folder: str, number: i
 def answer_batch(batch: DataFrame, number: int, serving: Serving, folder: str) -> None:
     """Writes a batch's answers and what is wrong with them, each under a place of the batch's own.
 
-    Run again, a batch replaces its own rows with the same rows.
+    The rows are written first, so that the state behind them is worked out once. Run again, a batch
+    replaces its own rows with the same rows; one in which no sequence ended leaves no answers.
     """
     spark, keys = batch.sparkSession, list(serving.keys)
+    place = f"{folder}/rows/batch={number}"
+    batch.write.mode("overwrite").parquet(place)
+    batch = spark.read.schema(batch.schema).parquet(place)
+    if batch.isEmpty():
+        return
     version = pinned_version(spark, serving, folder, number)
     snapshot = spark.read.parquet(serving.attributes).where(F.col(VERSION) == version).drop(VERSION)
     snapshot = snapshot.select(F.col(serving.subject).alias("_subject"), *DEFAULTS)
