@@ -69,8 +69,13 @@ def gathered(rows: DataFrame, keys: list[str], channels: list[str], probs: dict[
     rows, by, values = _numbered(rows, keys, channels)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(values):
-        aggs += [F.sort_array(F.collect_list(c)).alias(f"_v{i}"), *[e(F.col(c)).alias(f"_e{i}_{n}") for n, e in extra.items()]]
+        aggs.append(F.sort_array(F.collect_list(c)).alias(f"_v{i}"))
     got = rows.groupBy(*by).agg(*aggs).where("_rows > 0")
+    if extra:
+        # By themselves, as plain sums run in generated code, and gathering does not.
+        beside = {f"_e{i}_{n}": e(F.col(c)) for i, c in enumerate(values) for n, e in extra.items()}
+        sums = rows.groupBy(*by).agg(*[e.alias(n) for n, e in beside.items()])
+        got = _with(got, sums, by, list(beside)) if by else _attach(got, sums, [], list(beside))
     cells = []
     for i in range(len(values)):
         v = F.col(f"_v{i}")
