@@ -31,8 +31,6 @@ VERBATIM = 0.8
 LONGEST = 1024
 #: Characters of the items that are searched at once; the words, vectors and counts of so many fit every task.
 BLOCK = 400_000
-#: Passages that the space is fitted to, about; the terms' weights come from all.
-FITTED = 1 << 18
 #: Cosine to an item, times what a window has beside it, from which a window is a candidate.
 COSINE = 0.2
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -144,20 +142,14 @@ def multiplied(coded: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.n
 
 
 def latent_terms(coded: DataFrame, terms: int, rank: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Term vectors in the space of the leading right singular vectors, and the terms' weights.
-
-    The weights count all passages; the space is fitted to about FITTED passages, those of the documents with
-    the smallest hashes, so it costs the same for every size of the corpus.
-    """
+    """Term vectors in the space of the leading right singular vectors of all passages, and the terms' weights."""
     df, n = frequencies(coded, terms)
     weights = np.log((n + 1) / (df + 1.0))
     weights[0] = 0
     rank = min(rank, terms)
     basis = np.linalg.qr(np.random.default_rng(97).standard_normal((terms, rank)))[0]
-    share = min(1.0, FITTED / max(1, n))
-    fitted = coded if share == 1 else coded.where(F.xxhash64("key", "ids") <= -(1 << 63) + int(share * (1 << 64)) - 1)
     for _ in range(rounds):
-        basis = np.linalg.qr(multiplied(fitted, weights, basis))[0]
+        basis = np.linalg.qr(multiplied(coded, weights, basis))[0]
     return (weights[:, None] * basis).astype(np.float32), weights
 
 
