@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -25,6 +26,9 @@ from seqweft.llm.common import text_column, with_struct
 SPACE = "▁"
 CACHED = 150_000
 PAIRS = 200_000
+#: Characters of a text that are cut into segments at once.
+SLICE = 1 << 16
+NEVER = float("-inf")
 SCHEMA = "ids binary, decoded string"
 # Kinds of pieces in the model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -62,8 +66,9 @@ class Pieces:
         self.cut = re.compile(f"[{letters}]+|." if crossing else f"{SPACE}*[{letters}]+|{SPACE}+|.", re.S)
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stable_pair = lru_cache(PAIRS)(lambda a, b: self.merged(a + b) == [a, b])
-        self.stable = lru_cache(CACHED)(lambda a: self.merged(a) == [a])
+        self.packed_ids = {p: self.packed(self.spelled(p)) for p in self.scores.keys() | joined}
+        self.history = lru_cache(len(self.packed_ids))(self._history)
+        self.stable_pair = lru_cache(PAIRS)(self._stable_pair)
 
     @staticmethod
     def _surface(p) -> bytes:
@@ -73,39 +78,76 @@ class Pieces:
             return b""
         return " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(SPACE, " ").encode()
 
-    def merged(self, s: str) -> list[str]:
-        """Plain merging of a short string: the best pair first, the leftmost of equals."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
+    def _history(self, token: str) -> tuple[tuple, tuple, tuple] | None:
+        """A token's own merges, the best pair first, the leftmost of equals; None if they don't end in the token.
+
+        Gives each merge's score and, from the start on, the first and the last part between merges.
+        """
+        scores, parts = self.scores, list(token)
+        firsts, lasts, merges = [parts[0]], [parts[-1]], []
+        pairs = [scores.get(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == NEVER:
+                return None
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def segment(self, s: str) -> list[int]:
-        """The ids of a text without cut points: a last token for each prefix, then back from the end."""
+            del pairs[at]
+            if at:
+                pairs[at - 1] = scores.get(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = scores.get(parts[at] + parts[at + 1], NEVER)
+            merges.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        return tuple(merges), tuple(firsts), tuple(lasts)
+
+    def _stable_pair(self, a: str, b: str) -> bool:
+        """Whether two tokens side by side (or `b` alone) stay as they are when their text is merged.
+
+        Up to the first merge across the border each side merges as it does alone, so it is enough to go
+        through both sides' merges in order, holding the pair at the border against the next of each.
+        """
+        right = self.history(b)
+        if not a or right is None:
+            return right is not None
+        left = self.history(a)
+        if left is None:
+            return False
+        get = self.scores.get
+        (own, _, lasts), (other, firsts, _) = left, right
+        i = j = 0
+        while True:
+            across = get(lasts[i] + firsts[j], NEVER)
+            x = own[i] if i < len(own) else NEVER
+            y = other[j] if j < len(other) else NEVER
+            if across > x and across >= y:
+                return False
+            if x == y == NEVER:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
+
+    def segment(self, s: str) -> bytes:
+        """The packed ids of a text without cut points: a last token for each prefix, then back from the end."""
+        packed = self.packed_ids
         if len(s) == 1:
-            return self.spelled(s)
-        pair, last = self.stable_pair, [""] * (len(s) + 1)
+            return packed.get(s) or self.packed(self.spelled(s))
+        pair, last, done = self.stable_pair, [""], -1
         for at, (token, length) in self.automaton.iter(s):
-            stop = at + 1
-            if not last[stop]:
-                start = stop - length
-                if pair(last[start], token) if start else self.stable(token):
-                    last[stop] = token
-        out: list[int] = []
+            if at != done and pair(last[at + 1 - length], token):
+                last.append(token)
+                done = at
+        out: list[bytes] = []
         stop = len(s)
         while stop:
             token = last[stop]
-            out += self.spelled(token)[::-1] if token not in self.ids else (self.ids[token],)
+            out.append(packed[token])
             stop -= len(token)
         out.reverse()
-        return out
+        return b"".join(out)
 
     def spelled(self, token: str) -> list[int]:
         known = self.ids.get(token)
@@ -113,21 +155,35 @@ class Pieces:
             return [known]
         return [self.byte_ids[b] for b in token.encode()] if self.bytes_known else [self.unknown]
 
+    def segments(self, text: str) -> Iterator[list[str]]:
+        """The segments of a text, those of about SLICE characters at a time."""
+        at, size = 0, SLICE
+        while at < len(text):
+            found = self.cut.findall(text, at, at + size)
+            if at + size >= len(text):
+                at = len(text)
+            elif len(found) > 1:  # the last one may go on
+                at, size = at + size - len(found.pop()), SLICE
+            else:
+                size *= 2
+                continue
+            yield found
+
     def encode(self, text: str) -> bytes:
         """All ids, begin and end included, as little-endian unsigned 32-bit integers."""
         out = [self.packed([self.begin])]
         if text:
-            recent, older = self.recent, self.older
-            for found in self.cut.finditer(self.prefix + text.replace(" ", SPACE)):
-                s = found.group()
-                ids = recent.get(s)
-                if ids is None:
-                    ids = older.get(s) or self.packed(self.segment(s))
-                    if len(s) <= 64:
-                        recent[s] = ids
-                out.append(ids)
-            if len(recent) > CACHED:
-                self.recent, self.older = {}, recent
+            for found in self.segments(self.prefix + text.replace(" ", SPACE)):
+                recent, older, long = self.recent, self.older, []
+                for s in set(found).difference(recent):
+                    recent[s] = older.get(s) or self.segment(s)
+                    if len(s) > 64:
+                        long.append(s)
+                out += map(recent.__getitem__, found)
+                for s in long:
+                    del recent[s]
+                if len(recent) > CACHED:
+                    self.recent, self.older = {}, recent
         out.append(self.packed([self.end]))
         return b"".join(out)
 
@@ -135,7 +191,7 @@ class Pieces:
         """Empties the caches."""
         self.recent, self.older = {}, {}
         self.stable_pair.cache_clear()
-        self.stable.cache_clear()
+        self.history.cache_clear()
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:

@@ -44,6 +44,59 @@ def test_cache_generations_do_not_change_ids(library, monkeypatch):
         assert unpacked(pieces.encode(text)) == library.encode(text, add_bos=True, add_eos=True)
 
 
+def plainly_merged(scores, text):
+    parts = list(text)
+    while True:
+        pairs = [(scores[x + y], -k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in scores]
+        if not pairs:
+            return parts
+        k = -max(pairs)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_pairs_are_stable_where_plain_merging_keeps_them():
+    pieces, rng, seen = model(model_path()), random.Random(5), set()
+    tokens = sorted(pieces.packed_ids)
+    for _ in range(4000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if rng.random() < 0.5:
+            k = rng.randrange(1, len(a + b))
+            a, b = (a + b)[:k], (a + b)[k:]
+        want = plainly_merged(pieces.scores, a + b) == [a, b]
+        assert pieces.stable_pair(a, b) == want, (a, b)
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_new_segments_take_few_score_lookups(monkeypatch):
+    looked = 0
+
+    class Counted(dict):
+        def get(self, *args):
+            nonlocal looked
+            looked += 1
+            return super().get(*args)
+
+    pieces, rng = model(model_path()), random.Random(7)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(12)) for _ in range(3000)]
+    pieces.forget()
+    monkeypatch.setattr(pieces, "scores", Counted(pieces.scores))
+    pieces.encode(" ".join(words))
+    pieces.forget()
+    assert looked < 3 * sum(map(len, words))
+
+
+def test_texts_cut_in_slices_have_the_same_ids(library, monkeypatch):
+    import seqweft.llm.pieces as module
+
+    pieces, rng = model(model_path()), random.Random(3)
+    for size in (1, 2, 3, 7, 20):
+        monkeypatch.setattr(module, "SLICE", size)
+        for _ in range(300):
+            text = "".join(rng.choice("abthe  ▁\n.é漢😀0") for _ in range(rng.randrange(60)))
+            assert unpacked(pieces.encode(text)) == library.encode(text, add_bos=True, add_eos=True), (size, text)
+
+
 def test_table_with_nulls_repeats_and_clashing_columns(spark, library):
     rows = [(None, None, "a", None), (1, "", "b", None), (2, "two words", "c", None), (2, "two words", "c", None), (3, "no" * 60_000, None, None)]
     df = docs(spark, rows).withColumnRenamed("lang", "ids").withColumnRenamed("source", "decoded")
