@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from seqweft.llm import decontam
 from seqweft.llm.common import stored
 from seqweft.llm.registry import QUERIES
 from seqweft.session import scratch_path
@@ -44,6 +45,16 @@ def test_stages_take_empty_and_odd_tables(spark):
             assert frame.count() <= len(rows)
 
 
+def test_leak_search_fits_its_space_to_every_document(spark, monkeypatch):
+    # More passages than the 2^18 that the space was once fitted to.
+    sf, fitted, multiplied = scratch_path(spark, "many"), [], decontam.multiplied
+    monkeypatch.setattr(decontam, "multiplied", lambda coded, *rest: fitted.append(coded.count()) or multiplied(coded, *rest))
+    spark.createDataFrame([(1, "the tall heron waits by the old mill")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    many = spark.range(1 << 19).selectExpr("id AS doc_id", "'the old mill' AS text", "'en' AS lang", "'s' AS source", "12L AS n_chars")
+    dict(pipeline.STAGES)["decontamination"](spark, many, sf)
+    assert fitted and set(fitted) == {1 << 19}
+
+
 def test_all_queries_are_registered():
     for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
