@@ -237,12 +237,12 @@ def function_per_sequence(spark, sf):
     return out.withColumn("smooth", F.round("smooth", 5))
 
 
-def _wide_sum(frame: pd.DataFrame) -> pd.DataFrame:
+def _wide_sum(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Sum of the row, the forty before it and the twenty after it."""
-    ends = np.minimum(np.arange(len(frame)) + 20, len(frame) - 1)
-    sums = np.concatenate([[0.0], np.cumsum(frame["value"].to_numpy())])
-    wide = sums[ends + 1] - sums[np.maximum(np.arange(len(frame)) - 40, 0)]
-    return frame.assign(wide=wide).loc[frame["own"], ["user_id", "pos", "wide"]]
+    own = np.flatnonzero(rows["own"])
+    sums = np.concatenate([[0.0], np.cumsum(rows["value"])])
+    wide = sums[np.minimum(own + 21, len(sums) - 1)] - sums[np.maximum(own - 40, 0)]
+    return {"user_id": rows["user_id"][own], "pos": rows["pos"][own], "wide": wide}
 
 
 @query(
@@ -252,7 +252,7 @@ def _wide_sum(frame: pd.DataFrame) -> pd.DataFrame:
 )
 def context_beyond_a_chunk(spark, sf):
     rows = events(spark, sf).select("user_id", "pos", "value")
-    out = user.apply_in_chunks(rows, EVENT_KEYS, _wide_sum, "user_id long, pos long, wide double", span=16, before=40, after=20)
+    out = user.apply_in_chunks(rows, EVENT_KEYS, _wide_sum, "user_id long, pos long, wide double", span=16, before=40, after=20, arrays=True)
     return out.withColumn("wide", F.round("wide", 4))
 
 

@@ -80,6 +80,66 @@ def test_chunk_function_sees_its_edges(spark, mode):
         assert np.allclose(got[got["key"] == k].sort_values("pos")["smooth"], want)
 
 
+@pytest.mark.parametrize("arrays", [False, True])
+@pytest.mark.parametrize("span, before, after", [(4, 9, 5), (16, 1, 0), (3, 0, 7), (64, 40, 20)])
+def test_chunk_sees_its_rows_across_blocks_and_batches(spark, monkeypatch, arrays, span, before, after):
+    monkeypatch.setattr(user, "BLOCK", 24)
+    monkeypatch.setattr(user, "SEEN", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+
+    def seen(frame):
+        kind = f"{frame['n'].dtype} {frame['flag'].dtype} {frame.index[-1]}"
+        out = frame.loc[frame["own"], ["key", "pos", "n", "flag"]]
+        return out.assign(first=frame["pos"].iloc[0], last=frame["pos"].iloc[-1], rows=len(frame), kind=kind)
+
+    def seen_arrays(part):
+        own, kind = part["own"], f"{part['n'].dtype} {part['flag'].dtype} {len(part['pos']) - 1}"
+        same = {"first": part["pos"][0], "last": part["pos"][-1], "rows": len(own), "kind": kind}
+        return {c: part[c][own] for c in ("key", "pos", "n", "flag")} | {c: np.full(own.sum(), v) for c, v in same.items()}
+
+    big = 2**53 + 1
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, size in enumerate([1, 5, 23, 24, 25, 48, 130, 131]):
+        places = np.flatnonzero(rng.random(size) < (0.6 if k % 2 else 1.1))  # every second sequence has gaps
+        for i in places.tolist():
+            rows.append((None if k == 3 else big + k, i, None if i % 31 == 7 else big + i, None if i % 31 == 9 else i % 2 == 0))
+    try:
+        df = spark.createDataFrame(rows, "key long, pos long, n long, flag boolean").repartition(3)
+        schema = "key long, pos long, n long, flag boolean, first long, last long, rows long, kind string"
+        out = user.apply_in_chunks(df, ["key"], seen_arrays if arrays else seen, schema, span, before, after, arrays=arrays)
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for key, p, n, flag in rows:
+        start = p // span * span
+        part = sorted(r for r in ((q, m, f) for k, q, m, f in rows if k == key and start - before <= q < start + span + after))
+        loose = any(m is None for _, m, _ in part)
+        kind = f"{'float64' if loose else 'int64'} {'object' if any(f is None for *_, f in part) else 'bool'} {len(part) - 1}"
+        # beside a null a whole number is a double, as pandas has it
+        want.append((key, p, int(float(n)) if loose and n is not None else n, flag, part[0][0], part[-1][0], len(part), kind))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_chunks_dont_multiply_the_rows_that_move(spark):
+    def seen(frame):
+        return frame.loc[frame["own"], ["key", "pos"]].assign(rows=len(frame))
+
+    rows = make(spark, [3000, 40, 41, 42]).select("key", "pos", "v")
+    out = user.apply_in_chunks(rows, ["key"], seen, "key long, pos long, rows long", span=16, before=40, after=20)
+    assert len(out.collect()) == 3123
+    moved, plans = [], [out._jdf.queryExecution().executedPlan().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            plan = plan.plan()
+        written = plan.metrics().get("shuffleRecordsWritten")
+        moved += [written.get().value()] if written.isDefined() else []
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert moved and max(moved) < 1.2 * 3123
+
+
 def sine_windows(spark):
     t = np.arange(128) / 50.0
     data = {"x": np.sin(2 * np.pi * 1 * t), "y": np.sin(2 * np.pi * 3.125 * t), "z": np.sin(2 * np.pi * 12.5 * t)}
